@@ -1,0 +1,11 @@
+"""Named queries of the engine and the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
