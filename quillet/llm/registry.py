@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "fingerprint", "mixing", "packing", "sharding", "tokens")
+_MODULES = ("exact_dedup", "fingerprint", "language", "mixing", "packing", "sharding", "tokens", "toxicity")
 
 
 def _loaded():
