@@ -93,7 +93,7 @@ def balanced_pass(units: DataFrame, source_key: str = "source_no", block_rows: i
     while True:
         counts = units.groupBy(source_key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
         block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.col("_blocks")).cast("int")
-        flown = cut(units.join(counts, source_key).withColumn("_block", block).groupBy(source_key, "_block").applyInPandas(fly, schema), f"flight{level}")
+        flown = cut(units.join(counts, source_key).withColumn("_block", block).repartition(source_key, "_block").groupBy(source_key, "_block").applyInPandas(fly, schema), f"flight{level}")
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.filter(~open_))
         units, level = flown.filter(open_), level + 1
