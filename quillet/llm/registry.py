@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "fingerprint", "html", "language", "mixing", "packing", "sharding", "tokens", "toxicity")
+_MODULES = ("exact_dedup", "fingerprint", "html", "jaccard_join", "language", "mixing", "packing", "sharding", "tokens", "toxicity")
 
 
 def _loaded():
