@@ -102,7 +102,7 @@ def leaderboard(events: DataFrame, by: str, top: int = 10, metric: str = "bytes"
 
 def cost(events: DataFrame, input_price: float = 2.5, cache_read_price: float = 0.625, turn_reuse: float = 10) -> DataFrame:
     tokens = F.coalesce(F.sum("tokens_saved"), F.lit(0))
-    return events.agg(tokens.alias("tokens"), F.round(tokens / 1e6 * input_price, 6).alias("usd"), F.round(tokens / 1e6 * (input_price + turn_reuse * cache_read_price), 6).alias("usd_compounded"))
+    return events.agg(tokens.alias("tokens"), F.round(tokens / 1e6 * input_price, 9).alias("usd"), F.round(tokens / 1e6 * (input_price + turn_reuse * cache_read_price), 9).alias("usd_compounded"))
 
 
 def recent(events: DataFrame, n: int, tie: str = "source_label") -> DataFrame:

@@ -96,7 +96,7 @@ SELECT count(*) AS streak FROM g WHERE grp = 19753""",
     "ledger_families": f"{LEDGER} SELECT substr(surface, 1, 1) AS family, CAST(sum(saved_bytes) AS BIGINT) AS saved, CAST(sum(tokens_saved) AS BIGINT) AS tokens, count(*) AS events, CAST(sum(converted) AS BIGINT) AS conversions FROM l GROUP BY 1",
     "ledger_top_labels": f"{LEDGER} SELECT source_label AS label, CAST(sum(saved_bytes) AS BIGINT) AS saved, count(*) AS events FROM l WHERE kind = 'actual' AND source_label IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "ledger_top_projects": f"{LEDGER} SELECT project_id AS label, CAST(sum(tokens_saved) AS BIGINT) AS saved, count(*) AS events FROM l WHERE kind = 'actual' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "ledger_cost": f"{LEDGER} SELECT CAST(sum(tokens_saved) AS BIGINT) AS tokens, round(sum(tokens_saved)/1e6*2.5, 6) AS usd, round(sum(tokens_saved)/1e6*(2.5+10*0.625), 6) AS usd_compounded FROM l WHERE kind = 'actual'",
+    "ledger_cost": f"{LEDGER} SELECT CAST(sum(tokens_saved) AS BIGINT) AS tokens, round(sum(tokens_saved)/1e6*2.5, 9) AS usd, round(sum(tokens_saved)/1e6*(2.5+10*0.625), 9) AS usd_compounded FROM l WHERE kind = 'actual'",
     "ledger_recent": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "ledger_window": f"{LEDGER} SELECT day, CAST(sum(saved_bytes) AS BIGINT) AS value, count(*) AS events, CAST(sum(converted) AS BIGINT) AS conversions FROM l WHERE surface = 'click' AND day BETWEEN 19376 AND 19740 GROUP BY day",
     "export_csv": f"{LEDGER} SELECT ts||','||day||','||kind||','||surface||','||project_id||','||coalesce(source_label,'')||',,'||input_bytes||','||output_bytes||','||saved_bytes||','||tokens_saved||','||converted||',0' AS line FROM l",

@@ -77,5 +77,5 @@ def record_stream(events: DataFrame, checkpoint: str, *paths: str) -> None:
 
 def watch(spark: SparkSession, root: str, sync: Callable[[], None], checkpoint: str, quiet: str = "2 seconds"):
     """Call sync after each batch of new files; the trigger's interval is the quiet period. Returns the running query."""
-    arrivals = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    arrivals = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
     return arrivals.writeStream.trigger(processingTime=quiet).option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: sync()).start()
