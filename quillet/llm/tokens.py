@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import cut, prepare, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -84,7 +84,8 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     when every document is cut to n_tokens. Sums run over blocks of lengths first, so no task holds more than
     `block` lengths or one row a block. No documents give no rows.
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumns({"_b": F.floor(F.col("n_tokens") / block), "_t": F.col("n_docs") * F.col("n_tokens")})
+    counted = cut(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")  # used twice; texts are encoded once
+    hist = counted.withColumns({"_b": F.floor(F.col("n_tokens") / block), "_t": F.col("n_docs") * F.col("n_tokens")})
     blocks = hist.groupBy("_b").agg(F.sum("n_docs").alias("_bd"), F.sum("_t").alias("_bt"))
     after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
