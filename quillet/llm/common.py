@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Batches that go to Python workers hold so many bytes at most (or one row), and are worked on so many rows at a time.
+BATCH_BYTES, ROWS_AT_ONCE = 16 << 20, 256
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it."""
+    """Let Python workers import this package from where the driver imported it, and keep the batches they get small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b"):  # not where the user has chosen a size
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -60,6 +70,19 @@ def stable_fraction(*cols: Column | str, seed: int = 0) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11) * F.lit(2.0**-53)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, whose texts fit as Python objects; at the end the worker gives memory back."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _MASK = (1 << 64) - 1
 
 
@@ -77,7 +100,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Remembers the 64-bit hash of words (bytes); forgets all beyond `most` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -89,6 +112,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+_places: list[np.uint64] = []
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -97,7 +121,15 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     codes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(n, len(words))
-    out = np.full(len(words) - width + 1, (width * 0x9E3779B97F4A7C15) & _MASK, np.uint64)
+    size = len(words) - width + 1
+    out = np.full(size, width, np.uint64)
     for i in range(width):
-        out = mix64(out ^ codes[i : i + len(out)]) + np.uint64(i + 1)
+        out += codes[i : i + size] * _place(i)
     return mix64(out)
+
+
+def _place(i: int) -> np.uint64:
+    """An odd factor for the word at place i; the factors have no simple relation, so words that change places change the sum."""
+    while len(_places) <= i:
+        _places.append(mix64(np.array([(len(_places) + 1) * 0x9E3779B97F4A7C15 & _MASK], np.uint64))[0] | np.uint64(1))
+    return _places[i]
