@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillet.functions import legend, onto, toon
 from quillet.functions.detect import detect
+from quillet.functions.tokens import count_tokens, token_savings_pct
 from quillet.functions.values import PayloadError, dumps, is_scalar, json_bytes, same, sort_keys
 from quillet.sources.formats import parse
 
@@ -161,6 +162,17 @@ def convert(data: bytes, o: Options = Options()) -> Result:
     return out
 
 
+def inspect(data: bytes, o: Options = Options(), rank_file: str | None = None) -> dict:
+    """A dry run: the result's fields but its text, with token estimates and their savings; exact ones with a rank file."""
+    r = convert(data, o)
+    report = {k: v for k, v in vars(r).items() if k != "text"}
+    if r.toon_bytes is not None:
+        value = parse(data, r.doc_type)
+        texts = dumps(value), r.text if r.text is not None else toon.encode(value, _codec(o))
+        report |= {"json_tokens": count_tokens(texts[0], rank_file), "toon_tokens": count_tokens(texts[1], rank_file), "token_savings_pct": token_savings_pct(*texts, rank_file), "precise": rank_file is not None}
+    return report
+
+
 def lint(text: str) -> list[str]:
     """Warnings about a table text; one that starts with "error" if it can't be read or written again."""
     try:
@@ -213,6 +225,16 @@ def convert_payloads(payloads: DataFrame, options: Options = Options(), payload:
     return out.select(*payloads.columns, F.when(~fits, "InputTooLarge").otherwise(F.col("_c.reason")).alias("reason"), *rest)
 
 
+def inspect_column(payload: Column, options: Options = Options(), rank_file: str | None = None) -> Column:
+    """inspect() over a binary column, as JSON."""
+
+    @F.pandas_udf("string")
+    def run(data: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else dumps(inspect(bytes(d), options, rank_file)) for d in data], dtype=object)
+
+    return run(payload)
+
+
 def parse_column(payload: Column, hint: Column) -> Column:
     """Compact JSON of payloads in the hinted formats; null where they can't be parsed."""
 
