@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -29,12 +30,20 @@ P_XML_NAME = r"^<([A-Za-z_:][A-Za-z0-9_:.-]*)"
 _string, _json5, _toml_header, _scalar_header, _doctype, _name = map(re.compile, (P_STRING, P_JSON5, P_TOML_HEADER, P_SCALAR_HEADER, P_HTML_DOCTYPE, P_XML_NAME))
 
 
+def _is_json5(text: str) -> bool:
+    try:
+        json.loads(text)
+        return False  # what is JSON needs none of the signs
+    except (ValueError, RecursionError):
+        return bool(_json5.search(_string.sub('""', text)))
+
+
 def _sniff_text(text: str) -> str | None:
     trimmed = text.strip(SPACE)
     if not trimmed:
         return None
     lines = [x for x in (y.strip(SPACE) for y in text.split("\n")) if x]
-    json5 = bool(_json5.search(_string.sub('""', text)))
+    json5 = _is_json5(text) if trimmed[0] in "{[/" else False
     head = lines[:3]
     ndjson = len(lines) >= 2 and all((x[0] + x[-1]) in ("{}", "[]") for x in head)
     if trimmed.startswith(("//", "/*")) and json5:

@@ -37,6 +37,34 @@ def scalar_text(value) -> str:
     return value
 
 
+_CONTAINERS = frozenset((dict, list))
+_plain_start = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_#@$%&/(")
+_reals = re.compile(r"(?:-?[0-9]+\.[0-9]+(?:\n|$))+")
+_words = frozenset(("true", "false", "null"))
+
+
+def _column_text(values: list) -> list[str]:
+    """scalar_text of each, with one test for all where they are of one kind."""
+    kinds = set(map(type, values))
+    if kinds == {int}:
+        return list(map(str, values))
+    if kinds == {str} and not _special.search("x".join(values)):
+        return [t if t and t[0] in _plain_start and not t[-1].isspace() and t not in _words else scalar_text(t) for t in values]
+    return list(map(scalar_text, values))
+
+
+def _column_values(cells: list[str]) -> list:
+    """_scalar of each cell of a column without quotes."""
+    joined = "".join(cells)
+    if joined.isascii() and joined.isdigit() and all(cells) and max(map(len, cells)) < 19:
+        return list(map(int, cells))
+    if _words.issuperset(cells):
+        return [{"null": None, "true": True, "false": False}[c] for c in cells]
+    if _reals.fullmatch("\n".join(cells)):
+        return list(map(float, cells))
+    return [c if c and c[0] in _plain_start and c[-1] != " " and c not in _words else _scalar(c) for c in cells]
+
+
 def _key_text(key: str, codec: Codec) -> str:
     if _bare_key.fullmatch(key) and not (codec.fold_keys and "." in key):
         return key
@@ -48,7 +76,7 @@ def columns_of(rows: list) -> list[str] | None:
     if not rows or not isinstance(rows[0], dict) or not rows[0]:
         return None
     keys = rows[0].keys()
-    if all(isinstance(r, dict) and r.keys() == keys and all(map(is_scalar, r.values())) for r in rows):
+    if all(isinstance(r, dict) and r.keys() == keys and _CONTAINERS.isdisjoint(map(type, r.values())) for r in rows):
         return list(keys)
     return None
 
@@ -74,7 +102,7 @@ def _array(out: list[str], lead: str, key: str, rows: list, level: int, codec: C
         out.append(f"{lead}{key}[{len(rows)}]: " + ",".join(map(scalar_text, rows)))
     elif columns := columns_of(rows):
         out.append(f"{lead}{key}[{len(rows)}]{{{','.join(_key_text(c, codec) for c in columns)}}}:")
-        out.extend(pad + ",".join([scalar_text(r[c]) for c in columns]) for r in rows)
+        out.extend(pad + ",".join(cells) for cells in zip(*(_column_text([r[c] for r in rows]) for c in columns), strict=True))
     else:
         out.append(f"{lead}{key}[{len(rows)}]:")
         for row in rows:
@@ -213,6 +241,12 @@ class _Reader:
             out = [_scalar(c) for c in split_cells(m["rest"])]
         elif m["columns"] is not None:
             columns = [self.key(c.strip())[0] for c in split_cells(m["columns"])]
+            rows = self.lines[self.at : self.at + n]
+            if len(rows) == n and self.deeper(indent, depth) and all(i > indent and '"' not in t for i, t in rows):
+                split = [t.split(",") for _, t in rows]
+                if set(map(len, split)) == {len(columns)}:
+                    self.at += n
+                    out = [dict(zip(columns, r, strict=True)) for r in zip(*map(_column_values, zip(*split, strict=True)), strict=True)]
             while len(out) < n and self.deeper(indent, depth):
                 cells = split_cells(self.lines[self.at][1])
                 if len(cells) != len(columns):

@@ -14,10 +14,22 @@ class PayloadError(ValueError):
     """A payload can't be parsed, encoded or decoded."""
 
 
+_only_brackets = {c: None for c in range(128) if chr(c) not in "[]{}"}
+
+
 def check_depth(text: str) -> None:
     """More than MAX_DEPTH brackets open at once, outside of strings, is an error."""
     if text.count("{") + text.count("[") <= MAX_DEPTH:
         return
+    if text.isascii():  # brackets cancel out level by level, unless a string holds some
+        left = text.translate(_only_brackets)
+        for _ in range(MAX_DEPTH):
+            less = left.replace("{}", "").replace("[]", "")
+            if not less:
+                return
+            if less == left:
+                break
+            left = less
     depth = 0
     for c in re.sub(r"[^\[\]{}]+", "", _string.sub("", text)):
         depth += 1 if c in "{[" else -1
@@ -63,12 +75,16 @@ def json_bytes(value) -> int:
 
 def same(a, b) -> bool:
     """Equal in types and values; the order of keys doesn't count, that of elements does; -0.0 isn't 0.0."""
+    return dumps(a) == dumps(b) or _same(a, b)
+
+
+def _same(a, b) -> bool:
     if type(a) is not type(b):
         return False
     if isinstance(a, dict):
-        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
     if isinstance(a, list):
-        return len(a) == len(b) and all(map(same, a, b))
+        return len(a) == len(b) and all(map(_same, a, b))
     return repr(a) == repr(b) if isinstance(a, float) else a == b
 
 

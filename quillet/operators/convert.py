@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillet.functions import legend, onto, toon
 from quillet.functions.detect import detect
 from quillet.functions.tokens import count_tokens, token_savings_pct
-from quillet.functions.values import PayloadError, dumps, is_scalar, json_bytes, same, sort_keys
+from quillet.functions.values import PayloadError, dumps, is_scalar, same, sort_keys
 from quillet.sources.formats import parse
 
 # Names that are kept out of the legend, and sizes and shares of the gates.
@@ -135,7 +135,8 @@ def convert(data: bytes, o: Options = Options()) -> Result:
         if o.cache_stable:
             value = sort_keys(value)
         out.shape_class, out.uniformity_pct, out.sampled_count = shape = classify(value)
-        out.json_bytes = json_bytes(value)
+        plain = dumps(value)
+        out.json_bytes = len(plain.encode())
         codec = _codec(o)
         text = {"toon": lambda v: toon.encode(v, codec), "onto": onto.onto_encode, "tron": onto.tron_encode}[o.target](value)
         if o.target == "toon" and o.dict_enabled and not o.zero_alloc:
@@ -153,7 +154,8 @@ def convert(data: bytes, o: Options = Options()) -> Result:
         out.reason = "NotSmallerEnough"
         return out
     try:
-        if not same(decode_any(text, codec) if o.target == "toon" else decode_any(text), value):
+        back = decode_any(text, codec) if o.target == "toon" else decode_any(text)
+        if dumps(back) != plain and not same(back, value):
             raise PayloadError("another value")
     except (PayloadError, RecursionError):
         out.reason = "RoundTripMismatch"
