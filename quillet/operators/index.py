@@ -29,6 +29,11 @@ def diff(old: DataFrame, cur: DataFrame, key: str = "path", mtime: str = "mtime_
     return joined.select(F.coalesce(f"old.{key}", f"cur.{key}").alias(key), state.alias("state"))
 
 
+def vanished(old: DataFrame, seen: DataFrame, key: str = "path") -> DataFrame:
+    """Keys of stored files that a walk hasn't seen."""
+    return old.select(key).join(seen.select(key), key, "left_anti")
+
+
 def sync_counts(states: DataFrame) -> DataFrame:
     """Rows by state; touched files count as unchanged."""
     return states.groupBy(F.when(F.col("state") == "touched", "unchanged").otherwise(F.col("state")).alias("state")).agg(F.count("*").alias("n"))

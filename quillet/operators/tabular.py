@@ -133,3 +133,11 @@ def tron_stream(records: DataFrame, stream: str, position: str, record: str, col
     marked = records.select(stream, position, first.alias("_f"), F.when(fits, call).otherwise(F.col(record)).alias("_t"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(position, "_t"))), lambda r: r["_t"])
     return marked.groupBy(stream).agg(F.count("*").alias("records"), F.concat(F.lit(f"class A: {', '.join(columns)}\n\n["), F.array_join(rows, ","), F.lit("]")).alias("tron_text"))
+
+
+def key_union(records: DataFrame, by: str, position: str, record: str) -> DataFrame:
+    """Per group, the keys of all its JSON objects in the order in which they first appear; only (group, key) pairs are gathered."""
+    keys = records.select(by, position, F.posexplode(F.json_object_keys(F.col(record))).alias("_i", "_k"))
+    first = keys.groupBy(by, "_k").agg(F.min(F.struct(position, "_i")).alias("_at"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_k"))), lambda r: r["_k"])
+    return first.groupBy(by).agg(F.array_join(ordered, ",").alias("keys"))

@@ -325,6 +325,53 @@ def lint(spark, sf_dir):
     return _t(spark, sf_dir, "region").filter("r_regionkey = 0").select(bad).select("t", F.array_join(convert.lint_column(F.col("t")), ";").alias("warnings"))
 
 
+def key_union(spark, sf_dir):
+    rec = F.when(F.col("event_id") % 4 == 3, F.lit('{"z":1,"k":2}')).otherwise(F.lit('{"k":1,"t":2}'))
+    e = _t(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("stream"), "event_id", rec.alias("record"))
+    return tabular.key_union(e.withColumn("stream", F.floor(F.col("stream") / 10)), "stream", "event_id", "record")
+
+
+def vanished(spark, sf_dir):
+    return index.vanished(*_snapshots(spark, sf_dir))
+
+
+def common_days(spark, sf_dir):
+    """Days of one surface on which another was used too."""
+    e = events_ledger(spark, sf_dir)
+    days = lambda s: e.filter((F.col("surface") == s) & (F.col("converted") == 1)).select("day").distinct()
+    return days("purchase").join(days("signup"), "day", "left_semi")
+
+
+def sorted_keys(spark, sf_dir):
+    _use_workers(spark)
+    from quillet.functions import register
+
+    register.register(spark)
+    o = _t(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
+    return o.select("o_orderkey", F.expr("json_sort_keys(to_json(named_struct('z', named_struct('b', o_custkey, 'a', o_orderstatus), 'k', o_orderkey)))").alias("j"))
+
+
+def table_rows(spark, sf_dir):
+    """Table texts exploded to rows by the table function."""
+    _use_workers(spark)
+    from quillet.functions import register
+
+    register.register(spark)
+    tabular.encode_groups(_t(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey", "n_name"], ["n_nationkey"]).createOrReplaceTempView("_encoded_nations")
+    return spark.sql("SELECT n_regionkey, CAST(t.pos AS BIGINT) AS pos, t.row FROM _encoded_nations, LATERAL toon_rows(toon_text) t")
+
+
+def legend_roundtrip(spark, sf_dir):
+    """Customers' tables, with a legend, decoded again."""
+    rows = convert.convert_payloads(_payload_rows(spark, sf_dir, "json"))
+    return rows.select("c_nationkey", convert.decode_column(F.col("text")).alias("j"))
+
+
+def inspect_tokens(spark, sf_dir):
+    r = _payload_rows(spark, sf_dir, "json").select("c_nationkey", convert.inspect_column(F.col("payload"), convert.HOOK).alias("r"))
+    return r.select("c_nationkey", *[F.get_json_object("r", f"$.{k}").cast("long").alias(k) for k in ("json_tokens", "toon_tokens", "json_bytes")])
+
+
 def stream_daily(spark, sf_dir):
     """The ledger's daily sums from a stream over the events table; the last state of every day."""
     _use_workers(spark)
@@ -354,6 +401,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sync_states": sync, "sync_next": sync_next, "sync_cascade": sync_cascade, "scan_roots": roots, "sniff_delimiters": delimiters, "sniff_html": html_pages, "detect_payloads": detect_payloads, "path_hints": path_hints,
         "token_estimates": tokens, "protected_names": protected, "protected_keys": protected_keys, "model_families": models, "text_functions": texts, "strict_dates": dates, "json_elements": json_elements, "ndjson_records": ndjson,
         "tron_stream": tron_stream, "envelopes_read": envelopes_read, "envelopes_written": envelopes_written, "toon_roundtrip": toon_roundtrip, "lint_warnings": lint, "stream_daily": stream_daily,
+        "key_union": key_union, "vanished_files": vanished, "common_days": common_days, "sorted_keys": sorted_keys, "table_rows": table_rows, "legend_roundtrip": legend_roundtrip, "inspect_tokens": inspect_tokens,
         "parse_msgpack": _convert_binary("msgpack"), "parse_cbor": _convert_binary("cbor"),
         **{f"convert_{k}": _convert(k, convert.Options(dict_enabled=False)) for k in ("json", "ndjson", "csv", "tsv", "yaml", "toml", "xml", "json5")},
         "convert_legend": _convert("json"), "convert_onto": _convert("json", convert.Options(target="onto")), "convert_tron": _convert("json", convert.Options(target="tron")), "convert_cli": _convert("json", convert.CLI), "convert_hook": _convert("json", convert.HOOK),

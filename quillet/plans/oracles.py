@@ -141,6 +141,15 @@ SELECT stream, count(*) AS records, 'class A: k, t' || chr(10) || chr(10) || '['
     "convert_hook": _plain["json"],
     "convert_onto": _conversion("json", _OBJECT, "[", "]", "'!schema \"k\"|\"m\"|\"n\"'||chr(10)", "c_custkey||'|\"'||c_mktsegment||'\"|\"'||c_name||'\"'"),
     "convert_tron": _conversion("json", _OBJECT, "[", "]", "'class A: k, n, m'||chr(10)||chr(10)||'['", "'A('||c_custkey||',\"'||c_name||'\",\"'||c_mktsegment||'\")'"),
+    "key_union": """WITH r AS (SELECT (event_id % 40) // 10 AS stream, event_id, unnest(CASE WHEN event_id % 4 = 3 THEN ['z', 'k'] ELSE ['k', 't'] END) AS k, unnest([0, 1]) AS i FROM events),
+f AS (SELECT stream, k, min(event_id * 2 + i) AS p FROM r GROUP BY ALL) SELECT stream, string_agg(k, ',' ORDER BY p) AS keys FROM f GROUP BY stream""",
+    "vanished_files": f"{_DIFF} SELECT doc_id AS path FROM old WHERE doc_id NOT IN (SELECT doc_id FROM cur)",
+    "common_days": f"{LEDGER} SELECT DISTINCT day FROM l WHERE surface = 'purchase' AND converted = 1 AND day IN (SELECT day FROM l WHERE surface = 'signup' AND converted = 1)",
+    "sorted_keys": """SELECT o_orderkey, '{"k":' || o_orderkey || ',"z":{"a":"' || o_orderstatus || '","b":' || o_custkey || '}}' AS j FROM orders WHERE o_orderkey % 10 = 0""",
+    "table_rows": """SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS row FROM nation""",
+    "legend_roundtrip": f"SELECT c_nationkey, '[' || string_agg({_OBJECT}, ',' ORDER BY c_custkey) || ']' AS j FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey",
+    "inspect_tokens": f"""WITH s AS (SELECT c_nationkey, CAST(sum(strlen({_OBJECT})) + count(*) + 1 AS BIGINT) AS json_bytes, CAST(sum(strlen({_BARE}) + 1) + strlen({_HEAD}) AS BIGINT) AS t FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey)
+SELECT c_nationkey, CAST((json_bytes + 3) // 4 AS BIGINT) AS json_tokens, CAST((t + 3) // 4 AS BIGINT) AS toon_tokens, json_bytes FROM s""",
     "parse_msgpack": _binary(),
     "parse_cbor": _binary(),
 }
