@@ -10,7 +10,11 @@ under a band's scheme are those of the band and those below it that its smallest
 Equal sets are one node. Links are wanted for their components, so a bucket doesn't give all its pairs: first
 every member meets the bucket's hub (the member that shares most signatures); where that leaves a bucket with more
 than one component, all its pairs across components follow. Pairs go through two exact bounds (sizes, and the
-differing bits of a 512-bit parity map) before their texts are read and compared exactly, as sets of 64-bit hashes.
+differing bits of parity maps of a bit or more a token) before their texts are read and compared exactly, as sets
+of 64-bit hashes.
+
+Signatures that many sets of one task have are counted and joined apart from the others, where Spark can split
+them; the others meet in one exchange, and their buckets hold HOT rows a task at most.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, prepare, shingle_hashes, table
+from .common import cut, mix64, prepare, shingle_hashes, slices, table
 
-GROWTH, MAP_WORDS, CHANCE_COST = 1.25, 8, 0.05
+GROWTH, LEAST_WORDS, CHANCE_COST, HOT = 1.25, 8, 0.05, 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,59 +93,87 @@ def signatures(tokens: np.ndarray, starts: list[int], schemes: list[tuple[int, i
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
+def parity_map(tokens: np.ndarray) -> np.ndarray:
+    """Bits that are set where an odd number of tokens falls, in a power of two of 64-bit words; halving a map is the xor of its halves."""
+    words = max(LEAST_WORDS, 1 << max(0, (len(tokens) - 1) // 64).bit_length())
+    bits = np.bincount((mix64(tokens ^ _GOLD) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)))
+
+
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), b0 to b7 (parity map)."""
-    names = ["doc_id", "n", "d1", "d2", *(f"b{k}" for k in range(MAP_WORDS))]
+    """doc_id, n, d1, d2 (digest of the set), map (parity map)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.num_rows
-            out = np.zeros((3 + MAP_WORDS, size), np.int64)
+        for batch in slices(batches):
+            out, maps = np.zeros((3, batch.num_rows), np.int64), []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 s = token_set(text, n)
+                maps.append(parity_map(s) if len(s) else np.empty(0, np.int64))
                 if len(s):
                     out[0, i] = len(s)
                     out[1:3, i] = np.array([mix64(s).sum(dtype=np.uint64), mix64(s * _GOLD + np.uint64(1)).sum(dtype=np.uint64)]).view(np.int64)
-                    bits = np.bincount((mix64(s ^ _GOLD) & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
-                    out[3:, i] = np.packbits(bits.astype(np.uint8)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), _lists(maps)], ["doc_id", "n", "d1", "d2", "map"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, map array<long>")
 
 
 def _with_signatures(docs: DataFrame, n: int, starts, schemes, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [signatures(s, starts, schemes, num, den) if len(s := token_set(t, n)) else np.empty(0, np.uint64) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            values = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], ["doc_id", "sigs"])
 
     return docs.mapInArrow(run, "doc_id long, sigs array<long>")
 
 
-def semi(rows: DataFrame, ids: DataFrame, column: str = "doc_id", small: int = 1_000_000) -> DataFrame:
-    """The rows whose column is among the (distinct) ids, which are broadcast up to `small` of them and shuffled beyond."""
-    return rows.join(F.broadcast(ids) if ids.count() <= small else ids, column, "left_semi")
+def sized(ids: DataFrame, small: int = 1_000_000) -> DataFrame:
+    """A column of numbers, to be broadcast up to `small` rows and shuffled beyond."""
+    return F.broadcast(ids) if ids.count() <= small else ids
+
+
+def _shared(indexed: DataFrame) -> DataFrame:
+    """sig, doc_id, c of the signatures that c > 1 sets have."""
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column(0).flatten().to_numpy() for b in batches]
+        sigs, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0))
+        yield pa.RecordBatch.from_arrays([pa.array(sigs[counts >= HOT])], ["sig"])
+
+    hot = sized(cut(indexed.select("sigs").mapInArrow(often, "sig long").distinct(), "hot"))
+    entries = indexed.select("doc_id", F.explode("sigs").alias("sig"))
+    few = entries.join(hot, "sig", "left_anti").withColumn("c", F.count("*").over(Window.partitionBy("sig"))).filter("c > 1")
+    many = entries.join(hot, "sig", "left_semi")
+    many = many.join(many.groupBy("sig").agg(F.count("*").alias("c")), "sig")
+    return few.select("sig", "doc_id", "c").unionByName(many.select("sig", "doc_id", "c").filter("c > 1"))
+
+
+def _halved(own: Column, other: Column) -> Column:
+    k = F.size(other)
+    return F.when(F.size(own) > k, F.zip_with(F.slice(own, 1, k), F.slice(own, k + 1, k), lambda x, y: x.bitwiseXOR(y))).otherwise(own)
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
-    """The two exact bounds, on columns of two described sets."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    """The two exact bounds, on columns of two described sets. Sets within the first have maps of one length or of twice it."""
+    total, x, y = F.col(f"{a}.n") + F.col(f"{b}.n"), F.col(f"{a}.map"), F.col(f"{b}.map")
     most = total - 2 * F.expr(f"div({num} * ({a}.n + {b}.n) + {den + num - 1}, {den + num})")
-    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(1, MAP_WORDS)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+    differ = F.aggregate(F.zip_with(_halved(x, y), _halved(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, c: acc + c)
     return (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & (differ <= most)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by their whole texts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = cut(semi(docs, ids).dropDuplicates(["doc_id"]), "texts")
+    texts = cut(docs.join(sized(cut(ids, "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for x, t, u in zip(a, ta, tb, strict=True):
@@ -185,20 +217,31 @@ def _across(members: DataFrame, info: DataFrame, num: int, den: int, small: int
     blocks = F.ceil(F.col("c") / block).cast("int")
     many = full.filter(F.col("c") > small).withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    maps = [f"b{k}" for k in range(MAP_WORDS)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id")
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
         left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
         out = []
-        ids, comp, size, bits = right["doc_id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy(), right[maps].to_numpy().view(np.uint64)
-        for doc, c, s, b in zip(left["doc_id"].to_numpy(), left["component"].to_numpy(), left["n"].to_numpy(), left[maps].to_numpy().view(np.uint64), strict=True):
-            most = most_difference(size, s, num, den)
-            near = np.flatnonzero((comp != c) & (np.abs(size - s) <= most))
-            near = near[np.bitwise_count(bits[near] ^ b).sum(1) <= most[near]]
-            near = near[ids[near] > doc] if i == j else near
-            out.append(pd.DataFrame({"a": np.minimum(doc, ids[near]), "b": np.maximum(doc, ids[near])}))
+        ids, comp, size, length = right["doc_id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy(), right["map"].map(len).to_numpy()
+        maps = {k: np.stack(right["map"].to_numpy()[length == k]).view(np.uint64) for k in np.unique(length)}
+        place = np.zeros(len(right), np.int64)
+        for k in maps:
+            place[length == k] = np.arange((length == k).sum())
+        for doc, c, s, own in zip(left["doc_id"].to_numpy(), left["component"].to_numpy(), left["n"].to_numpy(), left["map"], strict=True):
+            own, most = np.asarray(own).view(np.uint64), most_difference(size, s, num, den)
+            may = (comp != c) & (np.abs(size - s) <= most)
+            may &= ids > doc if i == j else True
+            for k, m in maps.items():
+                near = np.flatnonzero(may & (length == k))
+                if len(near):
+                    x, y = own, m[place[near]]
+                    if k > len(x):
+                        y = y[:, : k // 2] ^ y[:, k // 2 :]
+                    elif k < len(x):
+                        x = x[:k] ^ x[k:]
+                    near = near[np.bitwise_count(y ^ x).sum(1) <= most[near]]
+                    out.append(pd.DataFrame({"a": np.minimum(doc, ids[near]), "b": np.maximum(doc, ids[near])}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     large = many.repartition("sig", "i", "j").groupBy("sig", "i", "j").applyInPandas(run, "a long, b long")
@@ -229,10 +272,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         below = counts.get(k - 1, (0, 0))[0]
         schemes.append(allocate(s / c if c else starts[k], c + below / 2, differ) if differ else (0, 0))
     reps = nodes.select(F.col("rep").alias("doc_id")).distinct()
-    indexed = cut(_with_signatures(docs, n, starts, schemes, num, den).filter(F.size("sigs") > 0).join(reps, "doc_id", "left_semi"), "signatures")
-    entries = indexed.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = entries.groupBy("sig").agg(F.count("*").alias("c")).filter("c > 1")
-    members = cut(entries.join(shared, "sig"), "members")
+    copies = sets.join(nodes, ["d1", "d2", "n"]).filter("doc_id <> rep").select("doc_id").distinct().join(reps, "doc_id", "left_anti")
+    signed = _with_signatures(docs, n, starts, schemes, num, den).filter(F.size("sigs") > 0)
+    indexed = cut(signed.join(sized(cut(copies, "copies")), "doc_id", "left_anti"), "signatures")
+    members = cut(_shared(indexed), "members")
     central = members.groupBy("doc_id").agg(F.sum("c").alias("w"))
     weighed = members.join(central, "doc_id")
     hubs = weighed.groupBy("sig").agg(F.max(F.struct("w", (-F.col("doc_id")).alias("neg"))).alias("h")).select("sig", (-F.col("h.neg")).alias("hub"))
