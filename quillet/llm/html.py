@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import cut, prepare, slices, table
 
 # HTML's own element kinds.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -394,7 +394,7 @@ def induce(pages: DataFrame, salts: int = 32, hosts_at_once: int = 5000) -> Data
             wrappers.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if page:
                     host, own = host_of(url), expression(parse(page))
@@ -420,7 +420,8 @@ def induce(pages: DataFrame, salts: int = 32, hosts_at_once: int = 5000) -> Data
 def extract(pages: DataFrame, id_col: str = "page_id", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """page_id, url, text, n_chars, host of every page, from its whole html.
 
-    A null or empty page, and one without main text, has an empty text. Pages without a usable url share the
+    A null or empty page, and one without main text, has an empty text; a page that has nothing where its host's
+    wrapper looks for main text is labelled by itself. Pages without a usable url share the
     wrapper of the empty host. Repeated rows get equal results. Wrappers are broadcast up to broadcast_bytes in
     all and joined by host beyond that. Other columns are neither read nor returned.
     """
@@ -433,7 +434,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", broadcast_bytes: int = 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: dict[str, dict] = {}
-        for batch in batches:
+        for batch in slices(batches):
             ids, urls, pages_, hosts, wraps = (batch.column(i).to_pylist() for i in range(5))
             texts = []
             for page, name, wrap in zip(pages_, hosts, wraps, strict=True):
@@ -444,7 +445,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", broadcast_bytes: int = 32
                     if len(labels) > 2000:
                         labels.clear()
                     labels[name] = label(json.loads(wrap))
-                texts.append(main_text(parse(page), labels[name]))
+                tree = parse(page)
+                texts.append(main_text(tree, labels[name]) or main_text(tree))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(hosts, pa.string())], ["page_id", "url", "text", "n_chars", "host"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), "url", "html").withColumn("host", host("url"))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stable_fraction, table
+from .common import prepare, slices, stable_fraction, table
 
 ORDER = 3
 _PAD = b"\n" * ORDER
@@ -54,7 +54,7 @@ class Trees:
         self.counts = counts
         self.escape: list = [None] * (ORDER + 1)  # by context length: contexts, bits per language
         self.cost: list = [None] * (ORDER + 2)  # by run length: runs, bits per language
-        for n in range(1, ORDER + 2):
+        for n in range(1, ORDER + 2) if counts else ():
             seen = [counts[x][n - 1][0] for x in self.languages]
             contexts = np.unique(np.concatenate([k >> np.uint32(8) for k in seen]))
             totals = np.zeros((len(contexts), len(self.languages)))
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 

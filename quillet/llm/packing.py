@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import cut, prepare, slices, table
 from .tokens import encoder, vocabulary_path
 
 
@@ -143,7 +143,7 @@ def cut_pieces(docs: DataFrame, capacity: int, end_id: int, path: str | None = N
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encode(text) if text else np.empty(0, np.uint32), np.uint32(end_id)).astype("<u4")

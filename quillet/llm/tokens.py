@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table
+from .common import cut, prepare, slices, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -30,12 +31,9 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         ranks_path = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks_path):
             import public_tokenizers
@@ -45,11 +43,19 @@ class Encoder:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def exact(self, text: str) -> list[int]:
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.uint32)
         if self.fast is None or any(s in text for s in self.special):
-            return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(self.exact(text), np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
 
 
@@ -70,7 +76,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = No
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(lengths, "n_tokens long")

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, stable_fraction, table
+from .common import cut, prepare, slices, stable_fraction, table
 
-RUNS, LONGEST_WORD = (4, 5, 6), 40
+RUNS, LONGEST_WORD, GRAMS_AT_ONCE = (4, 5, 6), 40, 100_000
 _not_letters = re.compile(r"[\W\d_]+")
 
 
@@ -127,13 +127,19 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        for batch in batches:
+
+        def out():
+            keys = list(seen[0] | seen[1])
+            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[k][g] for g in keys], pa.int64()) for k in (1, 0))], ["gram", "t", "c"])
+            seen[0].clear(), seen[1].clear()
+            return rows
+
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[toxic].update(candidates(set(normalise(text).split(" "))))
-        keys = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["gram", "t", "c"])
-        keys = [k for k in seen[0] if k not in seen[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], ["gram", "t", "c"])
+                if len(seen[0]) + len(seen[1]) > GRAMS_AT_ONCE:
+                    yield out()
+        yield out()
 
     n = dict(sample.groupBy("toxic").count().collect())
     nt, nc = n.get(1, 0), n.get(0, 0)
@@ -148,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
     model = Model(features)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [model.counts(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([w for _, w in rows], pa.int32()), pa.array([list(f) for f, _ in rows], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in rows], pa.list_(pa.int32()))], ["toxic", "words", "k", "n"])
 
