@@ -49,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    copies = cut(mix(docs).filter("copies > 0").select("doc_id", "copies"), "copies")
-    taken = docs.join(_sized(copies), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copies = cut(mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_quillet_copies")), "copies")
+    taken = docs.join(_sized(copies), "doc_id").withColumn("_quillet_copy", F.explode(F.sequence(F.lit(1), F.col("_quillet_copies"))))
     return taken.select(*docs.columns)
 
 

@@ -75,16 +75,16 @@ def shard_uniform(rows: DataFrame, key: str, shards: int, seed: int = 7, rows_pe
     counts = dict(rows.groupBy(block.alias("b")).count().collect())  # at most `blocks` rows
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
     matrix = communication_matrix([counts.get(b, 0) for b in range(blocks)], sizes, seed)
-    ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], "_b int, _ends array<bigint>")
-    dealt = rows.withColumns({"_b": block, "_k": F.xxhash64(key, F.lit(seed + 1))})
-    dealt = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k", *ties)) - 1)
+    ends = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], "_shard_b int, _shard_ends array<bigint>")
+    dealt = rows.withColumns({"_shard_b": block, "_shard_k": F.xxhash64(key, F.lit(seed + 1))})
+    dealt = dealt.withColumn("_shard_r", F.row_number().over(Window.partitionBy("_shard_b").orderBy("_shard_k", *ties)) - 1)
     # 8192 blocks of one number a shard: some MB at most, whatever the input.
-    dealt = dealt.join(F.broadcast(ends), "_b").withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_r"))))
+    dealt = dealt.join(F.broadcast(ends), "_shard_b").withColumn("shard", F.size(F.filter("_shard_ends", lambda end: end <= F.col("_shard_r"))))
     parts = max(8, min(2048, -(-total // (shards * 50_000))))
-    placed = cut(dealt.withColumn("_k", F.xxhash64(key, "shard", F.lit(seed + 2))).select(*own, "shard", "_k", F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(parts)).cast("int").alias("_p")), "placed")
-    before = placed.groupBy("shard", "_p").count().withColumn("_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_p")) - F.col("count")).drop("count")
-    slot = F.col("_before") + F.row_number().over(Window.partitionBy("shard", "_p").orderBy("_k", *ties)) - 1
-    return placed.join(F.broadcast(before), ["shard", "_p"]).select(*own, "shard", slot.cast("long").alias("slot"))  # parts a shard are bounded
+    placed = cut(dealt.withColumn("_shard_k", F.xxhash64(key, "shard", F.lit(seed + 2))).select(*own, "shard", "_shard_k", F.pmod(F.xxhash64("_shard_k", F.lit(seed)), F.lit(parts)).cast("int").alias("_shard_p")), "placed")
+    before = placed.groupBy("shard", "_shard_p").count().withColumn("_shard_before", F.sum("count").over(Window.partitionBy("shard").orderBy("_shard_p")) - F.col("count")).drop("count")
+    slot = F.col("_shard_before") + F.row_number().over(Window.partitionBy("shard", "_shard_p").orderBy("_shard_k", *ties)) - 1
+    return placed.join(F.broadcast(before), ["shard", "_shard_p"]).select(*own, "shard", slot.cast("long").alias("slot"))  # parts a shard are bounded
 
 
 def op7_sharding(spark, sf_dir):

@@ -177,7 +177,7 @@ def severity(text: Column, model: Model) -> Column:
     return grade(text)
 
 
-def grade_documents(docs: DataFrame, model: Model, reject: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grade_documents(docs: DataFrame, model: Model, reject: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade, 0 to 3), grade (the likeliest), p_toxic, toxic (p_toxic of reject or more) of every row.
 
     Repeated rows get equal results; an empty table gives none; other columns are neither read nor returned.
@@ -187,12 +187,12 @@ def grade_documents(docs: DataFrame, model: Model, reject: float = 0.5, id_col:
     return out.select("doc_id", "s.severity", "s.grade", "s.p_toxic", (F.col("s.p_toxic") >= reject).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, reject: float = 0.4) -> DataFrame:
     """The rows of docs, with their columns, that the model doesn't reject."""
     model = train(docs, labels)
     prepare(docs.sparkSession)
     own = docs.columns
-    return docs.withColumn("_severity", severity(F.col("text"), model)).filter(F.col("_severity.p_toxic") < reject).select(*own)
+    return docs.withColumn("_quillet_severity", severity(F.col("text"), model)).filter(F.col("_quillet_severity.p_toxic") < reject).select(*own)
 
 
 def op4_toxicity(spark, sf_dir):

@@ -102,7 +102,7 @@ def test_hypergeometric_beyond_numpy(monkeypatch):
 
 
 def test_sharding(spark, odd):
-    df = odd.select("doc_id", "text", "shard")
+    df = odd.select("doc_id", "text", "shard", F.lit(1).alias("_b"), F.lit(2).alias("_p"))
     out = sharding.shard_uniform(df, "doc_id", 4).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in df.collect())
     by = collections.defaultdict(list)

@@ -69,6 +69,15 @@ def test_empty_table(spark, corpus):
     assert docs.count() == 0
 
 
+def test_other_columns_stay(spark, corpus):
+    names = ["copies", "target", "kept", "keep_id", "component_id", "severity", "size", "_copy", "_severity", "n_shingles", "dropped"]
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").selectExpr("*", *[f"'x' AS {c}" for c in names])
+    for name, stage in pipeline.STAGES:
+        before, docs = docs, pipeline.cut(stage(spark, docs, corpus), name)
+        if name != "best_fit_packing":
+            assert docs.columns == before.columns and {r[0] for r in docs.select("copies").distinct().collect()} == {"x"}
+
+
 def test_names():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
     assert pipeline.ORACLE_SQL is None and jaccard_join.jaccard_components
