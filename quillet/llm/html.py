@@ -353,23 +353,19 @@ def main_text(root: Node, labels: dict | None = None) -> str:
     blocks: list[str] = []
 
     def walk(node: Node, known: dict, inside: bool):
-        row: list[str] = []
+        start, cells = len(blocks), []
         for kid in node.kids:
+            at = len(blocks)
             if not isinstance(kid, Node):
                 if known.get("#", [inside])[0]:
-                    row.append(kid[0]) if node.tag in CELLS else blocks.append(kid[0])
+                    blocks.append(kid[0])
                 continue
             keep, below = known.get(kid.sig, (inside and not _template(kid.sig, True), {}))
             if keep:
-                if node.tag == "tr" and kid.tag in CELLS:
-                    start = len(blocks)
-                    walk(kid, below, inside or _is_main(kid.sig) > 1)
-                    row.extend(blocks[start:])
-                    del blocks[start:]
-                else:
-                    walk(kid, below, inside or _is_main(kid.sig) > 1)
-        if row:
-            blocks.append(" ".join(row))
+                walk(kid, below, inside or _is_main(kid.sig) > 1)
+            cells.append(len(blocks) - at if kid.tag in CELLS else 2)
+        if node.tag == "tr" and len(cells) > 1 and max(cells) < 2:  # a row of plain cells is one block
+            blocks[start:] = [" ".join(blocks[start:])] if blocks[start:] else []
 
     walk(root, labels, False)
     return "\n\n".join(blocks)

@@ -205,6 +205,39 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def _block(pdf: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """(ids, components, sizes, maps) of the rows, by the length of their maps."""
+    length = pdf["map"].map(len).to_numpy()
+    parts = [pdf[length == k] for k in np.unique(length)]
+    return [(p["doc_id"].to_numpy(), p["component"].to_numpy(), p["n"].to_numpy(), np.stack(p["map"].to_numpy()).view(np.uint64)) for p in parts]
+
+
+def near_pairs(left: list, right: list, num: int, den: int, one: bool, cells: int = 1 << 20) -> np.ndarray:
+    """Pairs of ids of two blocks (or of one, each pair once) of different components that both bounds let pass; some million words of maps at a time."""
+    out = [np.empty((0, 2), np.int64)]
+    for ids, comp, size, maps in left:
+        for ids_, comp_, size_, maps_ in right:
+            words = min(maps.shape[1], maps_.shape[1])
+            if max(maps.shape[1], maps_.shape[1]) * num > 2 * words * den:
+                continue  # sizes too far apart
+            x, y = maps, maps_
+            while x.shape[1] > words:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > words:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, cells // (len(ids_) * words))
+            for k in range(0, len(ids), step):
+                part = slice(k, k + step)
+                most = most_difference(size[part, None], size_[None], num, den)
+                may = (comp[part, None] != comp_[None]) & (np.abs(size[part, None] - size_[None]) <= most)
+                if one:
+                    may &= ids[part, None] < ids_[None]
+                a, b = np.nonzero(may)
+                near = np.bitwise_count(x[part][a] ^ y[b]).sum(1, dtype=np.int64) <= most[a, b]
+                out.append(np.stack([ids[part][a[near]], ids_[b[near]]], 1))
+    return np.concatenate(out)
+
+
 def _across(members: DataFrame, info: DataFrame, num: int, den: int, small: int = 64, block: int = 1024) -> DataFrame:
     """Pairs (a, b) of one bucket and of different components that the bounds let pass; (hub, member) pairs were tried before."""
     mixed = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo <> hi and c > 2").select("sig", "c")
@@ -221,28 +254,8 @@ def _across(members: DataFrame, info: DataFrame, num: int, den: int, small: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("doc_id")
         i, j = pdf["i"].iat[0], pdf["j"].iat[0]
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        out = []
-        ids, comp, size, length = right["doc_id"].to_numpy(), right["component"].to_numpy(), right["n"].to_numpy(), right["map"].map(len).to_numpy()
-        maps = {k: np.stack(right["map"].to_numpy()[length == k]).view(np.uint64) for k in np.unique(length)}
-        place = np.zeros(len(right), np.int64)
-        for k in maps:
-            place[length == k] = np.arange((length == k).sum())
-        for doc, c, s, own in zip(left["doc_id"].to_numpy(), left["component"].to_numpy(), left["n"].to_numpy(), left["map"], strict=True):
-            own, most = np.asarray(own).view(np.uint64), most_difference(size, s, num, den)
-            may = (comp != c) & (np.abs(size - s) <= most)
-            may &= ids > doc if i == j else True
-            for k, m in maps.items():
-                near = np.flatnonzero(may & (length == k))
-                if len(near):
-                    x, y = own, m[place[near]]
-                    if k > len(x):
-                        y = y[:, : k // 2] ^ y[:, k // 2 :]
-                    elif k < len(x):
-                        x = x[:k] ^ x[k:]
-                    near = near[np.bitwise_count(y ^ x).sum(1) <= most[near]]
-                    out.append(pd.DataFrame({"a": np.minimum(doc, ids[near]), "b": np.maximum(doc, ids[near])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        found = near_pairs(*(_block(pdf[pdf["own"] == k]) for k in (i, j)), num, den, i == j)
+        return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
 
     large = many.repartition("sig", "i", "j").groupBy("sig", "i", "j").applyInPandas(run, "a long, b long")
     return pairs.unionByName(large).distinct()
@@ -252,11 +265,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     """doc_id, n_shingles, component_id of every row: components of the links between texts whose sets of n-word runs share num/den of their union.
 
     A text of fewer than n words is one run of all of them. Null texts and texts without words have empty sets and
-    no links: their component is themselves. Rows with one id count as one node. An empty table gives no rows.
+    no links: their component is themselves. The similarity is a half or more. Rows with one id count as one node. An empty table gives no rows.
     Other columns are neither read nor returned.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    if 2 * num < den:
+        raise ValueError("the similarity must be a half or more")  # parity maps are halved once
+    prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = cut(describe(docs, n), "sets")
     nodes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))

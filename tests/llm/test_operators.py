@@ -660,6 +660,8 @@ PAGE = """<!DOCTYPE html><html><head><title>x</title></head><body class="home"><
 
 def test_main_text_of_one_page():
     assert html.main_text(html.parse(PAGE)) == "Head & line\n\nFirst para more text <b> bold.\n\nSecond é para\n\none\n\ntwo\n\na b"
+    layout = "<table><tr><td><a href=1>x</a></td><td><h2>Story</h2>Plain text.<br>Next line.<p>A paragraph.</p></td></tr><tr><td>1<td>2</tr></table>"
+    assert html.main_text(html.parse(f"<article>{layout}</article>")) == "x\n\nStory\n\nPlain text. Next line.\n\nA paragraph.\n\n1 2"
     assert html.main_text(html.parse("")) == "" and html.main_text(html.parse("<p>a</p> b <!-- c")) == "a\n\nb"
 
 
