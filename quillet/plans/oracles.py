@@ -36,17 +36,17 @@ _TYPES = "ty AS (SELECT DISTINCT source AS path, CASE CAST(regexp_extract(source
 def _payload_kinds() -> str:
     kinds = {"json": "json", "json_array": "json", "ndjson": "ndjson", "json5": "json5", "json5_comment": "json5", "toml": "toml", "toml_plain": "toml", "scalar_array": "json", "yaml": "yaml", "yaml_doc": "yaml", "csv": "csv", "tsv": "tsv", "xml": "xml", "html": None, "doctype": None, "prose": None, "blank": None}
     rows = ", ".join(f"('{k}', {'NULL' if v is None else repr(v)})" for k, v in kinds.items())
-    return f"SELECT o_orderkey, made, kind FROM orders CROSS JOIN (VALUES {rows}) t(made, kind) WHERE o_orderkey % 50 = 0"
+    return f"SELECT o_orderkey, made, kind FROM orders CROSS JOIN (VALUES {rows}) t(made, kind)"
 
 
 def _binary() -> str:
-    return """SELECT c_custkey, '{"k":' || c_custkey || ',"m":"' || c_mktsegment || '"}' AS json_text FROM customer WHERE c_custkey < 65536"""
+    return """SELECT c_custkey, '{"k":' || c_custkey || ',"m":"' || c_mktsegment || '"}' AS json_text FROM customer"""
 
 
 def _conversion(doc_type: str, row: str, head: str, tail: str, table_head: str, table_row: str, margin: float = 2.0, row_end: int = 1, uniform: bool = True, table_tail: str = "''") -> str:
     """Sizes and decisions of one payload a nation: the JSON and the table text have a head, a tail and a part a row."""
     return f"""WITH s AS (SELECT c_nationkey, count(*) AS n, CAST(sum(strlen({row})) + count(*) - 1 + strlen('{head}') + strlen('{tail}') AS BIGINT) AS json_bytes,
-CAST(sum(strlen({table_row}) + {row_end}) + strlen({table_head}) + strlen({table_tail}) AS BIGINT) AS toon_bytes FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey)
+CAST(sum(strlen({table_row}) + {row_end}) + strlen({table_head}) + strlen({table_tail}) AS BIGINT) AS toon_bytes FROM customer GROUP BY c_nationkey)
 SELECT c_nationkey, toon_bytes < json_bytes * (1 - {margin} / 100) AS converted, CASE WHEN toon_bytes < json_bytes * (1 - {margin} / 100) THEN NULL ELSE 'NotSmallerEnough' END AS reason, json_bytes, toon_bytes,
 round(greatest(0, (1 - toon_bytes / json_bytes) * 100), 6) AS savings_pct, '{doc_type}' AS doc_type, '{"uniform" if uniform else "scalar"}' AS shape_class, CAST({"least(n, 64)" if uniform else "0"} AS BIGINT) AS sampled_count FROM s"""
 
@@ -130,7 +130,7 @@ replace(replace(replace(s, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') AS label,
     "json_elements": "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderkey, o_orderstatus FROM orders",
     "ndjson_records": """WITH e AS (SELECT CAST(event_id % 500 AS VARCHAR) AS stream, event_id, CASE WHEN event_id % 20 = 7 THEN props || 'x' ELSE props END AS line, event_id % 20 <> 7 AS ok FROM events WHERE event_id % 20 = 7 OR event_id % 3 <> 0)
 SELECT stream, count(*) AS records, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, bool_and(ok) AS all_valid, CASE WHEN bool_and(ok) THEN '[' || string_agg(line, ',' ORDER BY event_id) || ']' END AS json_text FROM e GROUP BY stream""",
-    "tron_stream": """WITH e AS (SELECT event_id % 40 AS stream, event_id, CASE WHEN event_id % 4 = 3 THEN '{"k":' || event_id || ',"z":[1]}' ELSE 'A(' || event_id || ',"' || event_type || '")' END AS t FROM events WHERE event_id < 2000 AND (event_id % 40) % 4 <> 3)
+    "tron_stream": """WITH e AS (SELECT event_id % 40 AS stream, event_id, CASE WHEN event_id // 40 % 4 = 3 THEN '{"k":' || event_id || ',"z":[1]}' ELSE 'A(' || event_id || ',"' || event_type || '")' END AS t FROM events)
 SELECT stream, count(*) AS records, 'class A: k, t' || chr(10) || chr(10) || '[' || string_agg(t, ',' ORDER BY event_id) || ']' AS tron_text FROM e GROUP BY stream""",
     "envelopes_read": """SELECT conv_id, turn, '{"x":7}' AS object, text AS devin, text AS droid FROM conversations""",
     "envelopes_written": """SELECT n_nationkey, '{"hookSpecificOutput":{"hookEventName":"PostToolUse","updatedToolOutput":"' || n_name || '"}}' AS claude, '{"continue":false,"decision":"block","reason":"' || n_name || '","hookSpecificOutput":{"hookEventName":"PostToolUse"}}' AS codex, CAST(NULL AS VARCHAR) AS droid FROM nation""",
@@ -145,10 +145,10 @@ SELECT stream, count(*) AS records, 'class A: k, t' || chr(10) || chr(10) || '['
 f AS (SELECT stream, k, min(event_id * 2 + i) AS p FROM r GROUP BY ALL) SELECT stream, string_agg(k, ',' ORDER BY p) AS keys FROM f GROUP BY stream""",
     "vanished_files": f"{_DIFF} SELECT doc_id AS path FROM old WHERE doc_id NOT IN (SELECT doc_id FROM cur)",
     "common_days": f"{LEDGER} SELECT DISTINCT day FROM l WHERE surface = 'purchase' AND converted = 1 AND day IN (SELECT day FROM l WHERE surface = 'signup' AND converted = 1)",
-    "sorted_keys": """SELECT o_orderkey, '{"k":' || o_orderkey || ',"z":{"a":"' || o_orderstatus || '","b":' || o_custkey || '}}' AS j FROM orders WHERE o_orderkey % 10 = 0""",
+    "sorted_keys": """SELECT o_orderkey, '{"k":' || o_orderkey || ',"z":{"a":"' || o_orderstatus || '","b":' || o_custkey || '}}' AS j FROM orders""",
     "table_rows": """SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS row FROM nation""",
-    "legend_roundtrip": f"SELECT c_nationkey, '[' || string_agg({_OBJECT}, ',' ORDER BY c_custkey) || ']' AS j FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey",
-    "inspect_tokens": f"""WITH s AS (SELECT c_nationkey, CAST(sum(strlen({_OBJECT})) + count(*) + 1 AS BIGINT) AS json_bytes, CAST(sum(strlen({_BARE}) + 1) + strlen({_HEAD}) AS BIGINT) AS t FROM customer WHERE c_custkey % 3 = 0 GROUP BY c_nationkey)
+    "legend_roundtrip": f"SELECT c_nationkey, '[' || string_agg({_OBJECT}, ',' ORDER BY c_custkey) || ']' AS j FROM customer GROUP BY c_nationkey",
+    "inspect_tokens": f"""WITH s AS (SELECT c_nationkey, CAST(sum(strlen({_OBJECT})) + count(*) + 1 AS BIGINT) AS json_bytes, CAST(sum(strlen({_BARE}) + 1) + strlen({_HEAD}) AS BIGINT) AS t FROM customer GROUP BY c_nationkey)
 SELECT c_nationkey, CAST((json_bytes + 3) // 4 AS BIGINT) AS json_tokens, CAST((t + 3) // 4 AS BIGINT) AS toon_tokens, json_bytes FROM s""",
     "parse_msgpack": _binary(),
     "parse_cbor": _binary(),
