@@ -39,6 +39,11 @@ AGAINST = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|sidebar|s
 HEADER = re.compile(r"(?:^|[^a-z])(?:header|head|hero|brand|logo)(?:$|[^a-z])", re.I)
 FOR = re.compile(r"(?:^|[^a-z])(?:article|articlebody|main|content|contents|post|entry|story|body|text|page-content)(?:$|[^a-z])", re.I)
 
+# What no claimed article is looked for below, words that make an article or main one of others' making, and classes that tell a layout or a state.
+SHUT = NOT_MAIN - {"form"}
+OTHERS = re.compile(r"(?:^|[^a-z])(?:comment(?!ar)|reply|replies|respond|responses?(?:$|[^a-z])|related|sponsor|ads?(?:$|[^a-z]))", re.I)
+LAYOUT = re.compile(r"(?:^|(?<= ))(?:(?:has|with|no|without)[-_][^ ]*|(?:category|tag)[-_](?!cloud|list)[^ ]*|[^ ]*[-_](?:open|opened|closed|enabled|disabled))(?= |$)", re.I)
+
 _token = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _attribute = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _digits = re.compile(r"\d+")
@@ -269,17 +274,30 @@ def _split(sig: str) -> tuple[str, str]:
     return tag, hints
 
 
+def _hidden(hints: str) -> bool:
+    return hints.startswith("!") or " !" in hints
+
+
+def _shut(sig: str) -> bool:
+    """Nothing below the element can be the main text."""
+    tag, hints = _split(sig)
+    return tag in SHUT or _hidden(hints) and tag not in ("body", "html")
+
+
 def _template(sig: str, inside: bool) -> bool:
     """By its tag and hints the element isn't main text; inside: within an article."""
     tag, hints = _split(sig)
-    if tag in NOT_MAIN or hints.startswith("!") or " !" in hints:
+    if tag in ("body", "html"):
+        return False
+    if tag in NOT_MAIN or _hidden(hints):
         return True
     if tag == "header" and not inside:
         return True
-    if not hints or tag in ("article", "main", "body", "html") and not re.search(r"comment|reply|respon|related|sponsor|(?:^|[^a-z])ads?(?:$|[^a-z])", hints):
+    hints = LAYOUT.sub("", hints)
+    if not hints or tag in ("article", "main") and not OTHERS.search(hints):
         return False
     if AGAINST.search(hints):
-        return not (FOR.search(hints) and not re.search(r"comment|reply|respon|related|nav|menu|sidebar|advert|(?:^|[^a-z])ads?(?:$|[^a-z])|footer|share|cookie|notice", hints))
+        return not (FOR.search(hints) and not OTHERS.search(hints) and not re.search(r"nav|menu|sidebar|advert|footer|share|cookie|notice", hints))
     return bool(HEADER.search(hints)) and not inside
 
 
@@ -296,24 +314,50 @@ def _is_main(sig: str) -> int:
 def label(items: list[dict]) -> dict:
     """The wrapper's labels as a nested map: token -> [keep, labels below]. '#' is the element's own text."""
 
-    def elements(expr, inside, path):
+    total = text_of(items)[0] or 1
+
+    def template(i, inside):
+        """A form that holds most of the text is a container like others."""
+        tag, hints = _split(i["s"])
+        if tag == "form" and text_of(i["c"])[0] > 0.5 * total:
+            return _template("div." + hints, inside)
+        return _template(i["s"], inside)
+
+    def texts(i):
+        """The element's own slots."""
+        for k in i["c"]:
+            if k["s"] == "#":
+                yield k
+            elif k["s"].startswith("("):
+                yield from texts(k)
+
+    def elements(expr, inside, path, behind):
+        """Claim, path, item, and whether it stands below template."""
         for i in expr:
             if i["s"].startswith("("):
-                yield from elements(i["c"], inside, path)
-            elif i["s"] != "#" and not _template(i["s"], inside):
-                claim = _is_main(i["s"])
-                yield claim, path + (i["s"],), i
-                yield from elements(i["c"], inside or claim >= 2, path + (i["s"],))
-
-    found = list(elements(items, False, ()))
-    total = sum(x[0] for x in [text_of(items)]) or 1
-    roots: list[tuple] = []
-    for claim in (3, 2, 1):
-        claimed = [(path, text_of(i["c"])[0]) for c, path, i in found if c == claim]
-        top = [p for p, _ in claimed if not any(p != q and p[: len(q)] == q for q, _ in claimed)]
-        if sum(x for p, x in claimed if p in top) >= (0.02 if claim > 1 else 0.25) * total:
-            roots = top
-            break
+                yield from elements(i["c"], inside, path, behind)
+            elif i["s"] != "#" and not _shut(i["s"]):
+                here, off = path + (i["s"],), template(i, inside)
+                claim = 0 if off else _is_main(i["s"])
+                yield claim, here, i, behind or off
+                yield from elements(i["c"], inside or claim >= 2, here, behind or off)
+
+    found = list(elements(items, False, (), False))
+
+    def claims(below, levels):
+        for claim in levels:
+            claimed = [(path, text_of(i["c"])[0]) for c, path, i, behind in found if c == claim and behind is below]
+            paths = {p for p, _ in claimed}
+            top = [(p, x) for p, x in claimed if not any(p[:k] in paths for k in range(1, len(p)))]
+            if sum(x for _, x in top) >= (0.02 if claim > 1 else 0.25) * total:
+                return top
+        return []
+
+    shown = claims(False, (3, 2, 1))
+    under = [(p, x) for p, x in claims(True, (3, 2)) if not any(p[: len(q)] == q for q, _ in shown)]
+    # Articles below template (lists of related ones, say) count where they hold more than all that would stay without them.
+    plain = sum(x for _, x in shown) if shown else sum(k["x"] for i in [{"c": items}, *(i for _, _, i, behind in found if not behind)] for k in texts(i))
+    roots = [p for p, _ in (shown + under if sum(x for _, x in under) > plain else shown)]
 
     def walk(expr, path, inside, out):
         for i in expr:
@@ -329,17 +373,19 @@ def label(items: list[dict]) -> dict:
                 out["#"] = [bool(keep or out.get("#", [False])[0]), {}]
                 continue
             here = path + (sig,)
-            if _template(sig, inside):
-                out[sig] = [False, {}]
+            leads = any(r[: len(here)] == here for r in roots)
+            if template(i, inside) and not leads:
+                out.setdefault(sig, [False, {}])
                 continue
             now = inside or here in roots
             x, l = text_of(i["c"])
             tag = _split(sig)[0]
-            if x and l > (0.8 if now else 0.5) * x and tag in ("ul", "ol", "table", "div", "section", "dl") and not any(r[: len(here)] == here for r in roots) and here not in roots:
+            if x and l > (0.8 if now else 0.5) * x and tag in ("ul", "ol", "table", "div", "section", "dl") and not leads:
                 out[sig] = [False, {}]
                 continue
-            below = out.setdefault(sig, [True, {}])[1]
-            walk(i["c"], here, now, below)
+            entry = out.setdefault(sig, [True, {}])
+            entry[0] = True
+            walk(i["c"], here, now, entry[1])
 
     labels: dict = {}
     walk(items, (), False, labels)

@@ -706,3 +706,28 @@ def test_pages_give_their_articles(spark):
         body = r["html"].split("<article>")[1].split("</article>")[0]
         blocks = [" ".join(entities.unescape(b).split()) for b in re.split(r"<[^>]+>", re.sub(r"</?b>", "", body).replace("<br>", " "))]
         assert out[r["page_id"]] == "\n\n".join(filter(None, blocks))
+
+
+STORY = "<p>The first fact of the story.</p><p>The second fact of the story.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content has-sidebar"><article>{STORY}</article><div class="sidebar"><p>links</p></div></div>',
+        f'<div class="site with-sidebar"><main>{STORY}</main></div>',
+        f'<body class="single-post comments-open"><article>{STORY}</article><div id="comments"><p>nice</p></div></body>',
+        f'<body class="responsive nav-open"><div class="entry">{STORY}</div></body>',
+        f'<article class="post comments-open category-ads">{STORY}</article><aside><p>x</p></aside>',
+        f'<form id="aspnetForm" method="post"><div><nav>menu</nav><article>{STORY}</article></div></form>',
+        f'<form id="form1"><div class="content">{STORY}</div><div class="footer">f</div></form>',
+        f'<div class="social-wrap"><article>{STORY}</article></div><p>tail</p>',
+        f'<article>{STORY}</article><div class="related"><article><p>Another.</p></article></div>',
+        f'<main>{STORY}</main><div class="related"><article><p>Another.</p></article></div>',
+        f'{STORY}<div class="related"><article><p>Another.</p></article></div>',
+        f'<main>{STORY}<form><p>Your name</p></form></main><aside><article><p>Another.</p></article></aside>',
+        f'<article>{STORY}</article><div id="comments"><article class="comment-body"><p>{"nice " * 50}</p></article></div>',
+    ],
+)
+def test_articles_in_layouts(page):
+    assert html.main_text(html.parse(page)) == "The first fact of the story.\n\nThe second fact of the story."
