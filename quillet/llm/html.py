@@ -256,6 +256,15 @@ def text_of(items: list[dict]) -> tuple[int, int]:
     return x, l
 
 
+def _text_of(node: Node) -> tuple[int, int]:
+    """The same of a page's element."""
+    x = l = 0
+    for kid in node.kids:
+        a, b = _text_of(kid) if isinstance(kid, Node) else (len(kid[0]), kid[1])
+        x, l = x + a, l + b
+    return x, l
+
+
 def show(items: list[dict]) -> str:
     """The wrapper as a regular expression over tokens."""
     out = []
@@ -312,7 +321,11 @@ def _is_main(sig: str) -> int:
 
 
 def label(items: list[dict]) -> dict:
-    """The wrapper's labels as a nested map: token -> [keep, labels below]. '#' is the element's own text."""
+    """The wrapper's labels as a nested map: token -> [keep, labels below, most]. '#' is the element's own text.
+
+    Items of one parent and token share a label. Where the wrapper has a list of links among them, most is the share
+    of links above which an element (or text) of a page goes; it is None elsewhere.
+    """
 
     total = text_of(items)[0] or 1
 
@@ -369,22 +382,25 @@ def label(items: list[dict]) -> dict:
                 # Without a claimed article, text that all of several pages share is template.
                 fixed = not roots and i["k"] and i["n"] >= 3
                 menu = not roots and i["x"] and i["l"] > 0.6 * i["x"]
-                keep = (inside or not roots) and not fixed and not menu
-                out["#"] = [bool(keep or out.get("#", [False])[0]), {}]
+                keep = bool((inside or not roots) and not fixed)
+                if keep and not menu or "#" not in out:
+                    out["#"] = [keep, {}, 0.6 if keep and menu else None]
+                elif keep and not out["#"][0]:
+                    out["#"] = [True, {}, 0.6]
                 continue
             here = path + (sig,)
             leads = any(r[: len(here)] == here for r in roots)
             if template(i, inside) and not leads:
-                out.setdefault(sig, [False, {}])
+                out.setdefault(sig, [False, {}, None])
                 continue
             now = inside or here in roots
             x, l = text_of(i["c"])
             tag = _split(sig)[0]
-            if x and l > (0.8 if now else 0.5) * x and tag in ("ul", "ol", "table", "div", "section", "dl") and not leads:
-                out[sig] = [False, {}]
-                continue
-            entry = out.setdefault(sig, [True, {}])
+            most = 0.8 if now else 0.5
+            entry = out.setdefault(sig, [True, {}, None])
             entry[0] = True
+            if x and l > most * x and tag in ("ul", "ol", "table", "div", "section", "dl") and not leads:
+                entry[2] = most
             walk(i["c"], here, now, entry[1])
 
     labels: dict = {}
@@ -403,10 +419,14 @@ def main_text(root: Node, labels: dict | None = None) -> str:
         for kid in node.kids:
             at = len(blocks)
             if not isinstance(kid, Node):
-                if known.get("#", [inside])[0]:
+                keep, _, most = known.get("#", (inside, {}, None))
+                if keep and (most is None or kid[1] <= most * len(kid[0])):
                     blocks.append(kid[0])
                 continue
-            keep, below = known.get(kid.sig, (inside and not _template(kid.sig, True), {}))
+            keep, below, most = known.get(kid.sig, (inside and not _template(kid.sig, True), {}, None))
+            if keep and most is not None:
+                x, l = _text_of(kid)
+                keep = l <= most * x
             if keep:
                 walk(kid, below, inside or _is_main(kid.sig) > 1)
             cells.append(len(blocks) - at if kid.tag in CELLS else 2)

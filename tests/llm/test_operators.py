@@ -731,3 +731,20 @@ STORY = "<p>The first fact of the story.</p><p>The second fact of the story.</p>
 )
 def test_articles_in_layouts(page):
     assert html.main_text(html.parse(page)) == "The first fact of the story.\n\nThe second fact of the story."
+
+
+@pytest.mark.parametrize("facts_first", [True, False])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<body>{}</body>"])
+def test_link_lists_leave_their_siblings(facts_first, wrap):
+    pages = []
+    for i in range(4):
+        facts = f"<ul><li>A fact number {i * 7}.</li><li>A second fact {i * 5}.</li></ul>"
+        links = "<ul>" + "".join(f"<li><a href=x>See also this long title {i + k}</a></li>" for k in range(6)) + "</ul>"
+        a, b = (facts, links) if facts_first else (links, facts)
+        pages.append(wrap.format(f"<p>Story {i} begins.</p>{a}<p>Story {i} goes on.</p>{b}"))
+    wrapper = html.expression(html.parse(pages[0]))
+    for page in pages[1:]:
+        wrapper = html.align(wrapper, html.expression(html.parse(page)))
+    for i, page in enumerate(pages):
+        text = html.main_text(html.parse(page), html.label(wrapper))
+        assert f"A fact number {i * 7}.\n\nA second fact {i * 5}." in text and "See also" not in text and f"Story {i} goes on." in text
