@@ -29,9 +29,15 @@ from .common import cut, prepare, slices, table
 # HTML's own element kinds.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = set("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select button".split())
-CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+RAW = set("script style textarea title iframe noembed noframes noscript".split())
+MATH = set("math maction maligngroup malignmark menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE |= MATH
+#: Left out with what stands in them, up to their end tag or where their parent closes. Those of ONCE don't nest.
+MUTE = set("annotation annotation-xml audio button canvas object select svg template video".split())
+ONCE = set("audio button canvas select video".split())
+CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
+BLOCKS = CLOSES_P | set(CLOSES) - {"option"} | {"body"}
 CELLS = {"td", "th"}
 CONTAINERS = set("div section td tr tbody table ul ol li center span dl fieldset".split())
 NOT_MAIN = set("nav footer aside form dialog menu search figure#ad".split())
@@ -45,6 +51,7 @@ OTHERS = re.compile(r"(?:^|[^a-z])(?:comment(?!ar)|reply|replies|respond|respons
 LAYOUT = re.compile(r"(?:^|(?<= ))(?:(?:has|with|no|without)[-_][^ ]*|(?:category|tag)[-_](?!cloud|list)[^ ]*|[^ ]*[-_](?:open|opened|closed|enabled|disabled))(?= |$)", re.I)
 
 _token = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_end_of_xmp = re.compile(r"</xmp(?=[\s/>])", re.I)
 _attribute = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _digits = re.compile(r"\d+")
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -73,9 +80,15 @@ def _hints(attributes: str) -> str:
 
 
 def parse(page: str) -> Node:
-    """The page's blocks as a tree: elements, and [text, characters inside links] between them. Inline tags leave no trace."""
+    """The page's blocks as a tree: elements, and [text, characters inside links] between them. Inline tags leave no trace.
+
+    Formulas are text like others. Of a button, menu of choices, player, canvas or object without an end tag, only
+    what stands before the first block goes.
+    """
     root = Node("#root")
     stack, parts, linked, anchor, at = [root], [], 0, 0, 0
+    mute: list[str] = []  # the open elements from one of MUTE on
+    block = None  # where the first block in it starts
 
     def flush():
         nonlocal linked
@@ -94,15 +107,45 @@ def parse(page: str) -> Node:
 
     while True:
         m = _token.search(page, at)
+        if m is None and mute and block is not None:
+            at, mute = block, []
+            continue
         if m is None:
-            add(page[at:])
+            if not mute:
+                add(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not mute:
             add(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
             continue
+        if mute:
+            if m[1] or m[4]:
+                if name in mute:
+                    del mute[len(mute) - 1 - mute[::-1].index(name) :]
+                    continue
+                if name in ("math", "semantics") and mute[0].startswith("annotation"):
+                    mute = []
+                    continue
+                if name in INLINE or not any(n.tag == name for n in stack):
+                    continue
+                mute = []
+                if block is not None:
+                    at = block
+                    continue
+            elif name in VOID or name in INLINE or m[0].endswith("/>") and "svg" in mute:
+                continue
+            elif name in BLOCKS and mute[0] == "svg" and "foreignobject" not in mute:
+                mute = []
+            elif name == mute[0] and name in ONCE:
+                at, mute = (at, [name]) if block is None else (block, [])
+                continue
+            elif name not in RAW:
+                if block is None and name in BLOCKS and mute[0] != "template":
+                    block = m.start()
+                mute.append(name)
+                continue
         if m[1] or m[4]:  # an end tag
             if name in INLINE:
                 anchor = max(0, anchor - (name == "a"))
@@ -117,12 +160,19 @@ def parse(page: str) -> Node:
             parts.append("\n")
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             parts.append(" ")
             continue
+        if name in MUTE:
+            if not (name == "svg" and m[0].endswith("/>")):
+                mute, block = [name], None
+            parts.append(" ")
+            continue
         if name in INLINE:
             anchor += name == "a"
+            if name in ("mtr", "mtd"):
+                parts.append(" ")
             continue
         if name in VOID:
             if name == "hr":
@@ -145,6 +195,10 @@ def parse(page: str) -> Node:
         node = Node(name, _hints(m[3] or m[6] or ""))
         stack[-1].kids.append(node)
         stack.append(node)
+        if name == "xmp":  # raw text that is shown
+            end = _end_of_xmp.search(page, at)
+            parts.append(page[at : end.start() if end else len(page)])
+            at = end.start() if end else len(page)
     flush()
     _sign(root)
     return root

@@ -748,3 +748,29 @@ def test_link_lists_leave_their_siblings(facts_first, wrap):
     for i, page in enumerate(pages):
         text = html.main_text(html.parse(page), html.label(wrapper))
         assert f"A fact number {i * 7}.\n\nA second fact {i * 5}." in text and "See also" not in text and f"Story {i} goes on." in text
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold.</p><p>b</p>", "Let x=1 hold.\n\nb"),
+        ("<p>a <math><semantics><mi>y</mi><annotation encoding=tex>\\y</annotation></semantics></math> b</p>", "a y b"),
+        ("<p>a <math/> b</p><p>c</p>", "a b\n\nc"),
+        ("<xmp>a <b> &amp; c</xmp><p>d</p>", "a <b> &amp; c\n\nd"),
+        ('<p>a <svg viewBox="0"/> b</p><p>c</p>', "a b\n\nc"),
+        ("<p>a <svg><title/><path d=x /><text>no</text></svg> b</p>", "a b"),
+        ("<p>a <svg><g> b</p><p>c</p>", "a\n\nc"),
+        ("<p>a</p><svg><g><p>b</p>", "a\n\nb"),
+        ("<p>a</p><button>Like<p>b</p><p>c</p>", "a\n\nb\n\nc"),
+        ("<p>a</p><button>Like<p>b</p><button>Share<p>c</p><button>Ok</button>", "a\n\nb\n\nc"),
+        ("<p>a <button>Like</p><p>b</p>", "a\n\nb"),
+        ("<div>a <select><option>x<option>y</div><p>b</p>", "a\n\nb"),
+        ("<p>a</p><button><div>Like</div></button><p>b <button>x</button> c</p>", "a\n\nb c"),
+        ("<p>a</p><object><object><p>x</p></object><p>y</p></object><p>b</p>", "a\n\nb"),
+        ("<p>a</p><video src=x><p>No video.</p></video><canvas>x<p>b</p>", "a\n\nb"),
+        ("<p>a</p><script>if (a<b) '<p>x</p>'</script ><style>p{}</style><p>b</p>", "a\n\nb"),
+        ("<p>a</p><template><p>x</p></template><p>b</p>", "a\n\nb"),
+    ],
+)
+def test_embedded_elements(body, text):
+    assert html.main_text(html.parse(f"<body><article>{body}</article><footer>f</footer></body>")) == text
