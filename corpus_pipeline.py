@@ -18,14 +18,23 @@ from quillet.llm.toxicity import drop_toxic
 
 #: A side of a join is broadcast up to this many rows of a few numbers, and shuffled beyond.
 SMALL = 1_000_000
+ROW = "_quillet_row"
 
 
 def _sized(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(_sized(cut(ids.distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs and the column that tells its rows apart: doc_id, or where ids repeat or are null, numbers in the order of the ids, nulls last."""
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text", "source"))
+    return cut(ordered.withColumn(ROW, F.monotonically_increasing_id()), "rows"), ROW
+
+
+def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    return docs.join(_sized(cut(ids.distinct(), "dropped")), id_col, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,23 +43,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts; of rows that repeat the id that stays, one."""
-    found = cut(exact_dedup(docs).select("doc_id", "kept"), "dedup")
-    out = _without(docs, found.filter(~F.col("kept")).select("doc_id"))
-    repeated = not found.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One row of each group of equal texts: the longest, of these the one with the smallest id; null ids come last."""
+    rows, row = _rows(docs)
+    found = exact_dedup(rows, id_col=row).filter(~F.col("kept")).select(F.col("doc_id").alias(row))
+    return _without(rows, found, row).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies: five-word shingles, similarity of 0.8 or more."""
-    found = jaccard_components(docs, n=5, num=4, den=5)
-    return _without(docs, found.filter("component_id <> doc_id").select("doc_id"))
+    rows, row = _rows(docs)
+    found = jaccard_components(rows, n=5, num=4, den=5, id_col=row)
+    return _without(rows, found.filter("component_id <> doc_id").select(F.col("doc_id").alias(row)), row).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, up to three times."""
-    copies = cut(mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_quillet_copies")), "copies")
-    taken = docs.join(_sized(copies), "doc_id").withColumn("_quillet_copy", F.explode(F.sequence(F.lit(1), F.col("_quillet_copies"))))
+    rows, row = _rows(docs)
+    copies = cut(mix(rows, id_col=row).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias("_quillet_copies")), "copies")
+    taken = rows.join(_sized(copies), row).withColumn("_quillet_copy", F.explode(F.sequence(F.lit(1), F.col("_quillet_copies"))))
     return taken.select(*docs.columns)
 
 

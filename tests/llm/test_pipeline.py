@@ -81,3 +81,24 @@ def test_other_columns_stay(spark, corpus):
 def test_names():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
     assert pipeline.ORACLE_SQL is None and jaccard_join.jaccard_components
+
+
+ODD_IDS = [(None, "a first text of seven words here", "en", "s", 1), (None, "another text that has words of its own", "en", "s", 1), (7, "b one more text with other words", "en", "s", 1), (7, "c yet another one under that id", "en", None, 1), (8, "b one  more text with other words", "en", "s", 1), (9, "lone words", "en", "s", 1), (None, "lone words", "en", "s", 1)]
+
+
+def test_null_and_repeated_ids(spark, corpus):
+    docs = docs_of(spark, ODD_IDS)
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.dedup(spark, docs, corpus).collect())
+    unique = sorted((i or 0, t) for k, (i, t, *_) in enumerate(ODD_IDS) if k not in (2, 6))
+    assert kept == unique
+    near = docs_of(spark, [*ODD_IDS[:4], (None, ODD_IDS[0][1].upper(), "en", "s", 1), (None, ODD_IDS[0][1], "en", "s", 1)])
+    assert sorted(r["text"][0].lower() for r in pipeline.near_dedup(spark, near, corpus).collect()) in (["a", "a", "b", "c"], ["a", "a", "a", "b", "c"])
+    assert collections.Counter(r["text"] for r in pipeline.near_dedup(spark, near, corpus).collect())[ODD_IDS[0][1]] == 1
+
+
+def test_mixing_takes_rows_of_any_id(spark, corpus):
+    docs = docs_of(spark, ODD_IDS)
+    taken = collections.Counter((r["doc_id"], r["text"]) for r in pipeline.mixing(spark, docs, corpus).collect())
+    plain = docs_of(spark, [(k, *r[1:]) for k, r in enumerate(ODD_IDS)])
+    assert max(taken.values()) <= 3 and any(i is None for i, _ in taken)
+    assert abs(sum(taken.values()) - pipeline.mixing(spark, plain, corpus).count()) <= 2
