@@ -237,3 +237,34 @@ def test_cache_stable_sorts_keys():
     a, b = ({"b": 1, "a": [{"y": 1, "x": 2}] * 3}, {"a": [{"x": 2, "y": 1}] * 3, "b": 1})
     o = Options(cache_stable=True, margin_pct=0)
     assert convert(json.dumps(a).encode(), o).text == convert(json.dumps(b).encode(), o).text
+
+
+def test_large_payloads_go_to_tron_record_by_record():
+    import json
+
+    from quillet.operators import convert
+
+    rows = [{"id": i, "name": f"row {i}"} for i in range(200)]
+    o = convert.Options(target="tron", max_input_bytes=1000)
+    payloads = {"json": json.dumps(rows), "ndjson": "\n".join(map(json.dumps, [*rows, {"id": 1, "nested": {"x": 1}}])), "csv": "id,name\n" + "".join(f"{i},row{i} {'x' * 9}\n" for i in range(200)), "tsv": "id\tname\n" + "".join(f"{i}\trow{i}\n" for i in range(200))}
+    for kind, text in payloads.items():
+        r = convert.convert(text.encode(), convert.replace(o, format_hint=kind))
+        assert r.reason in (None, "NotSmallerEnough") and r.doc_type == kind and r.json_bytes == len(text)
+        if kind in ("json", "ndjson"):
+            assert r.converted and convert.decode_any(r.text) == convert.parse(text.encode(), kind)
+    assert convert.convert(payloads["json"].encode()[:-1], convert.replace(o, format_hint="json")).reason == "ParseFailed"
+    assert convert.convert(json.dumps({"a": rows}).encode(), o).reason == "ParseFailed"
+    assert convert.convert(payloads["json"].encode(), convert.replace(o, target="toon")).reason == "InputTooLarge"
+    assert convert.convert(b"- a\n- b\n" * 200, convert.replace(o, format_hint="yaml")).reason == "InputTooLarge"
+
+
+def test_large_payloads_of_a_table(spark):
+    import json
+
+    from quillet.operators import convert
+
+    text = json.dumps([{"id": i, "name": f"row {i}"} for i in range(200)])
+    frame = spark.createDataFrame([(bytearray(text.encode()),)], "payload binary")
+    for target, reason in (("tron", None), ("toon", "InputTooLarge")):
+        r = convert.convert_payloads(frame, convert.Options(target=target, max_input_bytes=1000)).first()
+        assert (r["reason"], r["converted"]) == (reason, True if reason is None else None) or reason and r["reason"] == reason
