@@ -110,18 +110,21 @@ class Trees:
         return self.languages[k], float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum())
 
 
-def train(labelled: DataFrame, rows_per_language: int = 400, most_bytes: int = 32_768, most_languages: int = 64) -> Trees:
-    """Trees from (doc_id, text, lang), on about rows_per_language rows of each language, chosen by a hash of their ids, of at most most_bytes each.
+def train(labelled: DataFrame, rows_per_language: int = 400, most_bytes: int = 32_768) -> Trees:
+    """Trees from (doc_id, text, lang), on about rows_per_language rows of each language, chosen by a hash of their ids.
 
-    Of more than most_languages languages, the most frequent ones. Null texts and languages are left out.
+    Every language is learned: from rows of at most most_bytes, or where it has none, from the start of longer ones.
+    Null texts and languages are left out.
     """
     prepare(labelled.sparkSession)
-    labelled = labelled.filter("text is not null and lang is not null").filter(F.octet_length("text") <= most_bytes)
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return Trees({})
-    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-    sample = labelled.filter(stable_fraction("doc_id", seed=5) < rates[F.col("lang")])
+    short = F.octet_length("text") <= most_bytes
+    labelled = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang", short.alias("short"))
+    sizes = labelled.groupBy("lang").agg(F.count_if("short").alias("n_short"), F.count("*").alias("n"))
+    rate = F.lit(float(rows_per_language)) / F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n"))
+    joined = labelled.join(F.broadcast(sizes.select("lang", "n_short", rate.alias("rate"))), "lang")  # a row a language
+    # A character has at most four bytes.
+    text = F.when(F.col("short"), F.col("text")).otherwise(F.left("text", F.lit(most_bytes // 4))).alias("text")
+    sample = joined.filter((F.col("short") | (F.col("n_short") == 0)) & (stable_fraction("doc_id", seed=5) < F.col("rate"))).select("lang", text)
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         data = [_bytes(t) for t in pdf["text"]]

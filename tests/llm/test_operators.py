@@ -774,3 +774,14 @@ def test_link_lists_leave_their_siblings(facts_first, wrap):
 )
 def test_embedded_elements(body, text):
     assert html.main_text(html.parse(f"<body><article>{body}</article><footer>f</footer></body>")) == text
+
+
+def test_every_language_is_learned(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{k:02}": [letters[k % 26] * 2 + letters[k // 26] * 3, letters[(k * 7 + 3) % 26] + letters[k // 26] + letters[k % 26]] for k in range(78)}
+    rows = [(100 * k + i, " ".join(w * 20), lang) for k, (lang, w) in enumerate(words.items()) for i in range(2 if k > 64 else 3)]
+    rows += [(10_000, "žluťoučký kůň " * 4000, "long"), (10_001, None, "none"), (10_002, "x", None)]
+    trees = language.train(docs_of(spark, rows).select("doc_id", "text", "lang"))
+    assert set(trees.languages) == {*words, "long"}
+    assert trees.predict("žluťoučký kůň")[0] == "long" and all(trees.predict(" ".join(w * 3))[0] == x for x, w in words.items())
+    assert language.train(docs_of(spark, []).filter("false").select("doc_id", "text", "lang")).predict("a b")[0] == "und"
