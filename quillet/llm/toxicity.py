@@ -1,7 +1,8 @@
 """Severity of toxic texts by cumulative-link ordinal regression over sparse text features.
 
 Features are words and within-word runs of 4 to 6 letters (a blank marks a word's ends) that labelled toxic
-rows hold far more often than clean ones; an automaton finds them in whole texts. Grades are 0 for clean rows
+rows hold far more often than clean ones (of words of more than LONGEST_WORD letters only their runs, as in scripts
+without blanks); an automaton finds them in whole texts. Grades are 0 for clean rows
 and 1 to 3 for toxic ones by how many of their words hold a feature. One weight vector serves all thresholds:
 P(grade <= k) = logistic(threshold_k - weights . x). The result is the expected grade and the odds of any grade
 above 0.
@@ -35,9 +36,11 @@ def normalise(text: str) -> str:
 def candidates(words: set[str]) -> set[str]:
     out = set()
     for w in words:
-        if 0 < len(w) <= LONGEST_WORD:
+        if w:
+            long = len(w) > LONGEST_WORD
             w = f" {w} "
-            out.add(w)
+            if not long:
+                out.add(w)
             for n in RUNS:
                 out.update(w[i : i + n] for i in range(len(w) - n + 1))
     return out

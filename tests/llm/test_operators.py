@@ -785,3 +785,15 @@ def test_every_language_is_learned(spark):
     assert set(trees.languages) == {*words, "long"}
     assert trees.predict("žluťoučký kůň")[0] == "long" and all(trees.predict(" ".join(w * 3))[0] == x for x, w in words.items())
     assert language.train(docs_of(spark, []).filter("false").select("doc_id", "text", "lang")).predict("a b")[0] == "und"
+
+
+def test_cues_in_scripts_without_blanks(spark):
+    word = "的一是不了人我在有他这为之大来以个中上们" * 3
+    assert "他这为之" in toxicity.candidates({word}) and f" {word} " not in toxicity.candidates({word})
+    rng = random.Random(5)
+    clause = lambda: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    rows = [(i, clause() + ("恶毒坏话" if i % 2 else "") + clause()) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(150)], "doc_id long, toxic int")
+    docs = docs_of(spark, rows)
+    out = toxicity.grade_documents(docs, toxicity.train(docs, labels)).collect()
+    assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in out)
