@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -42,22 +43,68 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that all machines share: spark.checkpoint.dir; where none is set, a temporary one of this machine, if it is the only one."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillet-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+_written: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that later jobs neither repeat it nor depend on executors that may be lost."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quillet-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{scratch_dir(spark)}/quillet-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    if _written:
+        _written[-1].append(folder)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within the block, tables written by cut() are the block's own and go at its end, but those that a DataFrame given to keep() reads.
+
+    For results that are written before the block ends; the tables of one that is returned unread have to stay.
+    """
+    _written.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        files = df.inputFiles()
+        kept.extend(folder for folder in _written[-1] if any(folder.rsplit("/", 1)[1] in f for f in files))
+        return df
+
+    try:
+        yield keep
+    finally:
+        own = _written.pop()
+        if _written:
+            _written[-1].extend(kept)
+        drop_folders(spark, [folder for folder in own if folder not in kept])
+
+
+def drop_folders(spark: SparkSession, folders: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: A side of a join is broadcast up to so many rows of a few numbers, and shuffled beyond.
+SMALL = 200_000
+
+
+def sized(rows: DataFrame, small: int = SMALL) -> DataFrame:
+    """rows (a few numbers each), to be broadcast up to `small` of them; beyond that Spark joins by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= small else rows
 
 
 def content(text: Column | str) -> Column:
