@@ -70,9 +70,36 @@ def test_large_ids(spark):
     assert {r["keep_id"] for r in exact_dedup.exact_dedup(df).collect()} == {-(2**62), 0}
 
 
-def test_hot_group_is_combined_before_the_shuffle(spark):
-    plan = exact_dedup.exact_dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
-    assert "partial_min(doc_id" in plan and "Python" not in plan and "Arrow" not in plan
+def test_hot_group_is_combined_before_the_shuffle(spark, monkeypatch):
+    plans, cut = [], exact_dedup.cut
+    monkeypatch.setattr(exact_dedup, "cut", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or cut(df, name))
+    plans.append(exact_dedup.exact_dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString())
+    assert any("partial_min(doc_id" in p for p in plans) and not any("Python" in p or "Arrow" in p for p in plans)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_hot_group_is_whole_by_either_join(spark, monkeypatch, small):
+    """A third of all rows are copies; with few broadcast digests and with none."""
+    monkeypatch.setattr(exact_dedup, "SMALL", small)
+    monkeypatch.setattr(exact_dedup, "sized", lambda df: common.sized(df, small))
+    rows = [(i, "a b" if i % 3 else f"text {i // 6}", None) for i in range(600)]
+    found = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, salt string").repartition(7)).drop("n_chars").collect()
+    assert sorted(map(tuple, found)) == dedup_by_hand([r[:2] for r in rows])
+
+
+def test_digests_that_collide_stop_the_job(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lpad(F.length(c).cast("string"), 64, "0"))
+    with pytest.raises(Exception, match="share a SHA-256"):
+        exact_dedup.exact_dedup(docs_of(spark, [(1, "ab"), (2, "cd")])).collect()
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """All but the tables that the result reads."""
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: str(tmp_path))
+    with common.scratch(spark) as keep:
+        common.cut(spark.range(3), "x")
+        out = keep(common.cut(spark.range(5), "y"))
+    assert out.count() == 5 and len(list(tmp_path.iterdir())) == 1
 
 
 def test_dedup_against_sql(spark, duck):
@@ -103,21 +130,21 @@ def test_hypergeometric_beyond_numpy(monkeypatch):
 
 def test_sharding(spark, odd):
     df = odd.select("doc_id", "text", "shard", F.lit(1).alias("_b"), F.lit(2).alias("_p"))
-    out = sharding.shard_uniform(df, "doc_id", 4).collect()
+    out = sharding.shard_uniform(df, 4).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in df.collect())
     by = collections.defaultdict(list)
     for r in out:
         by[r["shard"]].append(r["slot"])
     assert sorted(len(v) for v in by.values()) == [2, 3, 3, 3] and all(sorted(v) == list(range(len(v))) for v in by.values())
-    again = sharding.shard_uniform(df.repartition(5), "doc_id", 4)
+    again = sharding.shard_uniform(df.repartition(5), 4)
     assert sorted(map(tuple, again.select("doc_id", "shard", "slot").collect())) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in out)
-    assert sharding.shard_uniform(empty(spark), "doc_id", 4).count() == 0
+    assert sharding.shard_uniform(empty(spark), 4).count() == 0
 
 
 def test_sharding_is_uniform(spark):
     """A document's shard doesn't depend on its neighbours': pairs meet as often as chance has it."""
     df = spark.range(6000).withColumnRenamed("id", "doc_id")
-    out = sharding.shard_uniform(df, "doc_id", 10).toPandas().sort_values("doc_id")
+    out = sharding.shard_uniform(df, 10).toPandas().sort_values("doc_id")
     s = out["shard"].to_numpy()
     assert out.groupby("shard").size().tolist() == [600] * 10
     assert abs((s[1:] == s[:-1]).mean() - 0.1) < 0.015
@@ -497,6 +524,30 @@ def test_flight_keeps_the_probabilities():
     assert np.abs(mean - 0.4).max() < 0.03
 
 
+@pytest.mark.parametrize("n", [2, 5, 60, 400])
+def test_landing_keeps_the_probabilities(n):
+    """Small sources, and ones with a document far larger than the others, included."""
+    sizes = np.sort(np.random.default_rng(n).integers(0, 400, n))[::-1].astype(float)
+    sizes[0] = 20 * n
+    seeds = 400 if n < 100 else 100
+    runs = [mixing.landing(np.full(n, 0.37), sizes, np.random.default_rng(k)) for k in range(seeds)]
+    assert set(np.unique(runs)) <= {0.0, 1.0}
+    assert np.abs(np.mean(runs, axis=0) - 0.37).max() < 4 * (0.37 * 0.63 / seeds) ** 0.5
+    if n == 400:
+        assert max(abs(r @ sizes / (0.37 * sizes.sum()) - 1) for r in runs) < 0.005
+
+
+def test_mix_takes_rows_with_their_probability(spark):
+    """The query's own sizes, over seeds: every document of a source is taken as often as its share says."""
+    rows = [(1, i, 1 + (i * 7919) % 500, 0.3) for i in range(80)]
+    units = spark.createDataFrame(rows, "source_no int, doc_id long, size long, p double")
+    taken = np.zeros(80)
+    for seed in range(6):
+        out = mixing.balanced_pass(units, block_rows=30, held=10, seed=seed).toPandas().sort_values("doc_id")
+        taken += out["p"].to_numpy()
+    assert abs(taken.mean() / 6 - 0.3) < 0.05 and len(set(taken)) > 3
+
+
 @pytest.mark.parametrize("block", [10, 8192])
 def test_balanced_pass(spark, block):
     rng = random.Random(9)
