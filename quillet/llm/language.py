@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, stable_fraction, table
+from .common import cut, prepare, sized, slices, stable_fraction, table
 
 ORDER = 3
 _PAD = b"\n" * ORDER
@@ -110,33 +109,35 @@ class Trees:
         return self.languages[k], float(1 / np.exp2(np.clip(bits[k] - bits, -1000, 0)).sum())
 
 
-def train(labelled: DataFrame, rows_per_language: int = 400, most_bytes: int = 32_768) -> Trees:
-    """Trees from (doc_id, text, lang), on about rows_per_language rows of each language, chosen by a hash of their ids.
+def train(labelled: DataFrame, rows_per_language: int = 400) -> Trees:
+    """Trees from (doc_id, text, lang), on the whole texts of about rows_per_language rows of each language, chosen by a hash of id and text.
 
-    Every language is learned: from rows of at most most_bytes, or where it has none, from the start of longer ones.
-    Null texts and languages are left out.
+    Every language is learned. Repeated rows count once. Null texts and languages are left out.
     """
     prepare(labelled.sparkSession)
-    short = F.octet_length("text") <= most_bytes
-    labelled = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang", short.alias("short"))
-    sizes = labelled.groupBy("lang").agg(F.count_if("short").alias("n_short"), F.count("*").alias("n"))
-    rate = F.lit(float(rows_per_language)) / F.when(F.col("n_short") > 0, F.col("n_short")).otherwise(F.col("n"))
-    joined = labelled.join(F.broadcast(sizes.select("lang", "n_short", rate.alias("rate"))), "lang")  # a row a language
-    # A character has at most four bytes.
-    text = F.when(F.col("short"), F.col("text")).otherwise(F.left("text", F.lit(most_bytes // 4))).alias("text")
-    sample = joined.filter((F.col("short") | (F.col("n_short") == 0)) & (stable_fraction("doc_id", seed=5) < F.col("rate"))).select("lang", text)
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = [_bytes(t) for t in pdf["text"]]
-        out = []
-        for n in range(1, ORDER + 2):
-            runs, c = np.unique(np.concatenate([_grams(d, n) for d in data]), return_counts=True)
-            out.append(pd.DataFrame({"lang": pdf["lang"].iat[0], "n": n, "runs": [runs.tobytes()], "counts": [c.astype(np.int64).tobytes()]}))
-        return pd.concat(out)
+    labelled = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("rate"))
+    sample = labelled.join(sized(cut(sizes, "languages")), "lang").filter(stable_fraction("doc_id", "text", seed=5) < F.col("rate"))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts.setdefault(lang, []).append(_bytes(text))
+            for lang, data in texts.items():
+                for n in range(1, ORDER + 2):
+                    runs, c = np.unique(np.concatenate([_grams(d, n) for d in data]), return_counts=True)
+                    columns = [pa.array([lang] * len(runs)), pa.array(np.full(len(runs), n, np.int32)), pa.array(runs.astype(np.int64)), pa.array(c.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "run", "c"])
+
+    counted = sample.dropDuplicates(["lang", "doc_id", "text"]).select("lang", "text").mapInArrow(count, "lang string, n int, run long, c long")
+    # The runs of a bounded sample.
+    found = counted.groupBy("lang", "n", "run").agg(F.sum("c").alias("c")).toArrow().sort_by([("lang", "ascending"), ("n", "ascending"), ("run", "ascending")])
+    langs, n, runs, c = found["lang"].to_pandas().to_numpy(), *(found[k].to_numpy() for k in ("n", "run", "c"))
     counts: dict[str, list] = {}
-    for r in sample.select("lang", "text").groupBy("lang").applyInPandas(count, "lang string, n int, runs binary, counts binary").orderBy("lang", "n").collect():
-        counts.setdefault(r["lang"], []).append((np.frombuffer(r["runs"], np.uint32), np.frombuffer(r["counts"], np.int64)))
+    starts = np.flatnonzero(np.concatenate([[True], (langs[1:] != langs[:-1]) | (n[1:] != n[:-1])])) if len(langs) else np.empty(0, np.int64)
+    for i, j in zip(starts, np.append(starts[1:], len(langs))):
+        counts.setdefault(langs[i], []).append((runs[i:j].astype(np.uint32), c[i:j]))
     return Trees(counts)
 
 

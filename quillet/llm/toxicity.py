@@ -3,7 +3,8 @@
 Features are words and within-word runs of 4 to 6 letters (a blank marks a word's ends) that labelled toxic
 rows hold far more often than clean ones (of words of more than LONGEST_WORD letters only their runs, as in scripts
 without blanks); an automaton finds them in whole texts. Grades are 0 for clean rows
-and 1 to 3 for toxic ones by how many of their words hold a feature. One weight vector serves all thresholds:
+and 1 to 3 for toxic ones by how many of their words hold a cue, where a row's cues are learned from the other half of
+the sample, never from itself. One weight vector serves all thresholds:
 P(grade <= k) = logistic(threshold_k - weights . x). The result is the expected grade and the odds of any grade
 above 0.
 """
@@ -81,7 +82,7 @@ class Model:
 
 
 def grade_of(words: int) -> int:
-    """The grade of a toxic row with so many words that hold a feature."""
+    """The grade of a toxic row with so many words that hold a cue."""
     return 1 if words <= 1 else 2 if words <= 4 else 3
 
 
@@ -111,10 +112,11 @@ def fit(rows: list[tuple[dict[int, int], int]], n_features: int, steps: int = 40
     return p[:n_features], np.array([p[-3], p[-3] + gaps[0], p[-3] + gaps.sum()])
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 6000, most_features: int = 3000, evidence: float = 25.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 6000, evidence: float = 25.0) -> Model:
     """A model from labels (doc_id, toxic) on a bounded sample: about toxic_rows and clean_rows rows, chosen by a hash of their ids, whole texts.
 
-    A feature's evidence is its log-likelihood ratio; it must also be ten times as frequent in toxic rows. A
+    A feature's evidence is its log-likelihood ratio; it must also be ten times as frequent in toxic rows. All with
+    enough evidence count. Half the evidence makes a cue of one half, by which the toxic rows of the other are graded. A
     document labelled more than once is toxic if any label says so. Without toxic or clean labels nothing is
     learned and every text has grade 0.
     """
@@ -126,40 +128,55 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows
         return Model([])
     rate = F.when(F.col("toxic") == 1, min(1.0, toxic_rows / sizes[1])).otherwise(min(1.0, clean_rows / sizes[0]))
     chosen = labels.filter(stable_fraction("doc_id", seed=4) < rate)  # the bound of the sample is that of the broadcast
-    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id"), "toxicity").select("text", "toxic")
+    half = (stable_fraction("doc_id", seed=8) < 0.5).cast("int").alias("half")
+    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic", half), "toxicity")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
+        seen = [Counter() for _ in range(4)]  # 2 * half + toxic
 
         def out():
-            keys = list(seen[0] | seen[1])
-            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[k][g] for g in keys], pa.int64()) for k in (1, 0))], ["gram", "t", "c"])
-            seen[0].clear(), seen[1].clear()
+            keys = list(set().union(*seen))
+            rows = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([s[g] for g in keys], pa.int64()) for s in seen)], ["gram", "c0", "t0", "c1", "t1"])
+            for s in seen:
+                s.clear()
             return rows
 
         for batch in slices(batches):
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update(candidates(set(normalise(text).split(" "))))
-                if len(seen[0]) + len(seen[1]) > GRAMS_AT_ONCE:
+            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                seen[2 * half + toxic].update(candidates(set(normalise(text).split(" "))))
+                if sum(map(len, seen)) > GRAMS_AT_ONCE:
                     yield out()
         yield out()
 
-    n = dict(sample.groupBy("toxic").count().collect())
-    nt, nc = n.get(1, 0), n.get(0, 0)
+    n = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
+    counted = sample.mapInArrow(grams, "gram string, c0 long, t0 long, c1 long, t1 long").groupBy("gram").agg(*(F.sum(k).alias(k) for k in ("c0", "t0", "c1", "t1")))
+
+    def strong(t: Column, c: Column, nt: int, nc: int, evidence: float) -> Column:
+        if not nt or not nc:
+            return F.lit(None).cast("double")
+        share = nt / (nt + nc)
+        term = lambda k, part: F.when(k > 0, k * F.log(k / ((t + c) * F.lit(part)))).otherwise(0.0)
+        g = 2 * (term(t, share) + term(c, 1 - share))
+        return F.when((g >= evidence) & (t / nt >= 10 * c / nc), g)
+
+    nt, nc = (n.get((0, k), 0) + n.get((1, k), 0) for k in (1, 0))
     if not nt or not nc:
         return Model([])
-    share = nt / (nt + nc)
-    t, c = F.col("t"), F.col("c")
-    term = lambda k, part: F.when(k > 0, k * F.log(k / ((t + c) * F.lit(part)))).otherwise(0.0)
-    counted = sample.mapInArrow(grams, "gram string, t long, c long").groupBy("gram").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    strong = counted.withColumn("g", 2 * (term(t, share) + term(c, 1 - share))).filter((F.col("g") >= evidence) & (t / nt >= 10 * c / nc))
-    features = [r["gram"] for r in strong.orderBy(F.desc("g"), "gram").limit(most_features).select("gram").collect()]
+    whole = strong(F.col("t0") + F.col("t1"), F.col("c0") + F.col("c1"), nt, nc, evidence)
+    of_half = [strong(F.col(f"t{h}"), F.col(f"c{h}"), n.get((h, 1), 0), n.get((h, 0), 0), evidence / 2) for h in (0, 1)]
+    scored = counted.select("gram", whole.alias("g"), *(x.alias(f"g{h}") for h, x in enumerate(of_half))).filter("g is not null or g0 is not null or g1 is not null")
+    strong_rows = scored.collect()  # of a bounded sample
+    features = [r["gram"] for r in sorted(strong_rows, key=lambda r: (-(r["g"] or 0), r["gram"])) if r["g"] is not None]
+    cues = [Model(sorted(r["gram"] for r in strong_rows if r[f"g{1 - h}"] is not None)) for h in (0, 1)]
     model = Model(features)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [model.counts(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([w for _, w in rows], pa.int32()), pa.array([list(f) for f, _ in rows], pa.list_(pa.int32())), pa.array([list(f.values()) for f, _ in rows], pa.list_(pa.int32()))], ["toxic", "words", "k", "n"])
+            rows, words = [], []
+            for text, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                rows.append(model.counts(text)[0])
+                words.append(cues[half].counts(text)[1])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.int32()), pa.array([list(f) for f in rows], pa.list_(pa.int32())), pa.array([list(f.values()) for f in rows], pa.list_(pa.int32()))], ["toxic", "words", "k", "n"])
 
     rows = [(dict(zip(r["k"], r["n"], strict=True)), grade_of(r["words"]) if r["toxic"] else 0) for r in sample.mapInArrow(found, "toxic int, words int, k array<int>, n array<int>").collect()]  # the bounded sample
     rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
