@@ -12,6 +12,7 @@ pages sends one wrapper a task to the shuffle, where wrappers are aligned in sal
 
 from __future__ import annotations
 
+import bisect
 import html
 import json
 import re
@@ -39,6 +40,7 @@ CLOSES_P = set("address article aside blockquote center details dialog dir div d
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select", "datalist"})}
 BLOCKS = CLOSES_P | set(CLOSES) - {"option"} | {"body"}
 CELLS = {"td", "th"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = set("div section td tr tbody table ul ol li center span dl fieldset".split())
 NOT_MAIN = set("nav footer aside form dialog menu search figure#ad".split())
 AGAINST = re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menu|menus|sidebar|side|aside|rail|footer|foot|masthead|topbar|banner|ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|share|sharing|social|related|recommended|recommendations|trending|popular|comment|comments|commentlist|reply|replies|respond|responses|disqus|discussion|breadcrumb|breadcrumbs|pagination|pager|widget|widgets|toolbar|login|search|searchbox|skip|hidden|copyright|legal|tags|tagcloud|byline-links)(?:$|[^a-z])", re.I)
@@ -50,7 +52,15 @@ SHUT = NOT_MAIN - {"form"}
 OTHERS = re.compile(r"(?:^|[^a-z])(?:comment(?!ar)|reply|replies|respond|responses?(?:$|[^a-z])|related|sponsor|ads?(?:$|[^a-z]))", re.I)
 LAYOUT = re.compile(r"(?:^|(?<= ))(?:(?:has|with|no|without)[-_][^ ]*|(?:category|tag)[-_](?!cloud|list)[^ ]*|[^ ]*[-_](?:open|opened|closed|enabled|disabled))(?= |$)", re.I)
 
-_token = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_opens = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
+_plain = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")
+_stop = re.compile(r"[>\"']")
+#: Elements nested deeper than this become siblings, as in browsers; their text stays where it is.
+DEEPEST = 200
+#: So often an embedded element that nothing closes is read again from its first block on; later ones end there at once.
+REREAD = 8
+#: Lists of tokens with up to so many pairs are aligned by their longest common subsequence.
+MOST_CELLS = 1 << 20
 _end_of_xmp = re.compile(r"</xmp(?=[\s/>])", re.I)
 _attribute = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _digits = re.compile(r"\d+")
@@ -65,6 +75,47 @@ class Node:
         self.tag, self.hints, self.kids, self.sig = tag, hints, [], ""
 
 
+class Tokens:
+    """The tags of a page, found in time that is linear in its length, whatever is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+        self.none = {'"': len(page) + 1, "'": len(page) + 1}  # from where on there is no such quote
+
+    def _end(self, at: int) -> int:
+        """The place of the '>' that ends the tag whose name ends at `at`; one in quotes counts only where quotes don't close."""
+        page, k = self.page, at
+        while self.quotes:
+            m = _stop.search(page, k)
+            if m is None:
+                self.quotes = False  # the quotes of this page don't match: '>' alone decides from here on
+            elif m[0] == ">":
+                return m.start()
+            else:
+                k = page.find(m[0], m.end()) + 1 if m.end() < self.none[m[0]] else 0
+                if not k:
+                    self.none[m[0]] = min(self.none[m[0]], m.end())
+                    break
+        return page.find(">", at)
+
+    def search(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """The first tag, comment or declaration from `at` on: start, end, whether it is an end tag, name ('' without one), attributes."""
+        page = self.page
+        while m := _opens.search(page, at):
+            if m[2] and (tag := _plain.match(page, m.start())):
+                return m.start(), tag.end(), bool(m[1]), tag[2].lower(), tag[3]
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(page), False, "", ""
+            if m.end() > self.last:
+                return None
+            end = self._end(m.end()) if m[2] else page.find(">", m.end())
+            if end >= 0:
+                return m.start(), end + 1, bool(m[1]), (m[2] or "").lower(), page[m.end() : end] if m[2] else ""
+            at = m.end()
+        return None
+
+
 def _hints(attributes: str) -> str:
     """Classes, ids and roles, without digits; '!' for what isn't shown."""
     if not attributes or attributes.isspace():
@@ -89,6 +140,7 @@ def parse(page: str) -> Node:
     stack, parts, linked, anchor, at = [root], [], 0, 0, 0
     mute: list[str] = []  # the open elements from one of MUTE on
     block = None  # where the first block in it starts
+    tokens, reread = Tokens(page), 0
 
     def flush():
         nonlocal linked
@@ -106,22 +158,23 @@ def parse(page: str) -> Node:
             linked += len(raw)
 
     while True:
-        m = _token.search(page, at)
+        m = tokens.search(at)
         if m is None and mute and block is not None:
-            at, mute = block, []
+            at, mute, reread = block, [], reread + 1
             continue
         if m is None:
             if not mute:
                 add(page[at:])
             break
-        if m.start() > at and not mute:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        start, end, closing, name, attributes = m
+        if start > at and not mute:
+            add(page[at:start])
+        at = end
+        closed = attributes.endswith("/") or not attributes and page.endswith("/>", start, end)
         if not name:
             continue
         if mute:
-            if m[1] or m[4]:
+            if closing:
                 if name in mute:
                     del mute[len(mute) - 1 - mute[::-1].index(name) :]
                     continue
@@ -132,21 +185,23 @@ def parse(page: str) -> Node:
                     continue
                 mute = []
                 if block is not None:
-                    at = block
+                    at, reread = block, reread + 1
                     continue
-            elif name in VOID or name in INLINE or m[0].endswith("/>") and "svg" in mute:
+            elif name in VOID or name in INLINE or closed and "svg" in mute:
                 continue
             elif name in BLOCKS and mute[0] == "svg" and "foreignobject" not in mute:
                 mute = []
             elif name == mute[0] and name in ONCE:
-                at, mute = (at, [name]) if block is None else (block, [])
+                at, mute, reread = (at, [name], reread) if block is None else (block, [], reread + 1)
                 continue
+            elif name in BLOCKS and reread >= REREAD:
+                mute = []
             elif name not in RAW:
                 if block is None and name in BLOCKS and mute[0] != "template":
-                    block = m.start()
+                    block = start
                 mute.append(name)
                 continue
-        if m[1] or m[4]:  # an end tag
+        if closing:
             if name in INLINE:
                 anchor = max(0, anchor - (name == "a"))
             elif name == "p" or name not in VOID:
@@ -160,12 +215,12 @@ def parse(page: str) -> Node:
             parts.append("\n")
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+            at = (page.find(">", end.end()) + 1 or len(page)) if end else len(page)
             parts.append(" ")
             continue
         if name in MUTE:
-            if not (name == "svg" and m[0].endswith("/>")):
+            if not (name == "svg" and closed):
                 mute, block = [name], None
             parts.append(" ")
             continue
@@ -192,9 +247,10 @@ def parse(page: str) -> Node:
                 if stack[k].tag in own:
                     del stack[k:]
                     break
-        node = Node(name, _hints(m[3] or m[6] or ""))
+        node = Node(name, _hints(attributes))
         stack[-1].kids.append(node)
-        stack.append(node)
+        if len(stack) <= DEEPEST:
+            stack.append(node)
         if name == "xmp":  # raw text that is shown
             end = _end_of_xmp.search(page, at)
             parts.append(page[at : end.start() if end else len(page)])
@@ -216,7 +272,12 @@ def _sign(root: Node) -> None:
 
 
 # An expression is a list of items. An item is a dict: s (token, '#' for a text slot), o (optional), r (repeated), n (pages that
-# have it), c (its expression); a slot also has x (characters), l (of them in links) and k (the text's digest, or 0 if it varies).
+# have it), c (its expression); a slot also has x (characters), l (of them in links), k (the texts that all its pages have: their
+# lengths by digest) and v (whether its pages have others too).
+
+
+def _digest(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "replace"))
 
 
 def expression(node: Node) -> list[dict]:
@@ -226,7 +287,7 @@ def expression(node: Node) -> list[dict]:
         if isinstance(kid, Node):
             item = {"s": kid.sig, "o": 0, "r": 0, "n": 1, "c": expression(kid)}
         else:
-            item = {"s": "#", "o": 0, "r": 0, "n": 1, "c": [], "x": len(kid[0]), "l": kid[1], "k": xxhash.xxh3_64_intdigest(kid[0].encode("utf-8", "replace")) | 1}
+            item = {"s": "#", "o": 0, "r": 0, "n": 1, "c": [], "x": len(kid[0]), "l": kid[1], "k": {_digest(kid[0]): len(kid[0])}, "v": 0}
         items.append(item)
     return fold(items)
 
@@ -267,7 +328,52 @@ def merge_item(a: dict, b: dict, same_page: bool = False) -> dict:
     if not same_page and bool(a["c"]) != bool(b["c"]):
         out["c"] = [x | {"o": 1} for x in out["c"]]
     if "x" in a:
-        out |= {"x": a["x"] + b["x"], "l": a["l"] + b["l"], "k": a["k"] if a["k"] == b["k"] else 0}
+        if same_page:
+            a["k"].update(b["k"])  # of the page's own expression
+        k = a["k"] if same_page else {d: n for d, n in a["k"].items() if d in b["k"]}
+        out |= {"x": a["x"] + b["x"], "l": a["l"] + b["l"], "k": k, "v": a["v"] | b["v"] | int(not same_page and a["k"].keys() != b["k"].keys())}
+    return out
+
+
+def _matches(a: list[dict], b: list[dict]) -> list[tuple[int, int]]:
+    """Places of tokens in a common subsequence: the longest one, or of very long lists the longest of tokens that each has once."""
+    n, m = len(a), len(b)
+    if n * m > MOST_CELLS:
+        once = [{s: k for s, (k, c) in _places(x).items() if c == 1} for x in (a, b)]
+        pairs = sorted((k, once[1][s]) for s, k in once[0].items() if s in once[1])
+        ends: list[int] = []  # of increasing runs, by length
+        chain: list[tuple] = []
+        last: list[tuple] = []
+        for i, j in pairs:
+            k = bisect.bisect_left(ends, j)
+            link = (i, j, last[k - 1] if k else None)
+            ends[k : k + 1], last[k : k + 1] = [j], [link]
+        link = last[-1] if last else None
+        while link:
+            chain.append(link[:2])
+            link = link[2]
+        return chain[::-1]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for x in range(n - 1, -1, -1):
+        for y in range(m - 1, -1, -1):
+            best[x][y] = best[x + 1][y + 1] + 1 if a[x]["s"] == b[y]["s"] else max(best[x + 1][y], best[x][y + 1])
+    out, x, y = [], 0, 0
+    while x < n and y < m:
+        if a[x]["s"] == b[y]["s"]:
+            out.append((x, y))
+            x, y = x + 1, y + 1
+        elif best[x + 1][y] >= best[x][y + 1]:
+            x += 1
+        else:
+            y += 1
+    return out
+
+
+def _places(items: list[dict]) -> dict[str, tuple[int, int]]:
+    """Each token's last place and how often it occurs."""
+    out: dict[str, tuple[int, int]] = {}
+    for k, i in enumerate(items):
+        out[i["s"]] = (k, out.get(i["s"], (0, 0))[1] + 1)
     return out
 
 
@@ -278,27 +384,18 @@ def align(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]:
         out.append(merge_item(a[i], b[i], same_page))
         i += 1
     a, b = a[i:], b[i:]
-    if a and b:  # the longest common subsequence of tokens
-        n, m = len(a), len(b)
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for x in range(n - 1, -1, -1):
-            for y in range(m - 1, -1, -1):
-                best[x][y] = best[x + 1][y + 1] + 1 if a[x]["s"] == b[y]["s"] else max(best[x + 1][y], best[x][y + 1])
-        x = y = 0
-        while x < n and y < m:
-            if a[x]["s"] == b[y]["s"]:
-                out.append(merge_item(a[x], b[y], same_page))
-                x, y = x + 1, y + 1
-            elif best[x + 1][y] >= best[x][y + 1]:
-                out.append(a[x] | {"o": 1})
-                x += 1
-            else:
-                out.append(b[y] | {"o": 1})
-                y += 1
-        a, b = a[x:], b[y:]
-    if not a and not b:
-        return out if i else fold(out)
-    return fold(out + [x | {"o": 1} for x in a] + [x | {"o": 1} for x in b])
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail]["s"] == b[-1 - tail]["s"]:
+        tail += 1
+    ends = [merge_item(x, y, same_page) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    x = y = 0
+    for x1, y1 in [*_matches(a, b), (len(a), len(b))]:
+        out += [k | {"o": 1} for k in a[x:x1]] + [k | {"o": 1} for k in b[y:y1]]
+        if x1 < len(a):
+            out.append(merge_item(a[x1], b[y1], same_page))
+        x, y = x1 + 1, y1 + 1
+    return fold(out + ends) if a or b else out + ends
 
 
 def text_of(items: list[dict]) -> tuple[int, int]:
@@ -323,7 +420,7 @@ def show(items: list[dict]) -> str:
     """The wrapper as a regular expression over tokens."""
     out = []
     for i in items:
-        own = ("#text" if not i["k"] else "#same") if i["s"] == "#" else "(" + show(i["c"]) + ")" if i["s"].startswith("(") else f"<{i['s'].split('{')[0]}>" + show(i["c"]) + "</>"
+        own = ("#text" if i["v"] or i["r"] else "#same") if i["s"] == "#" else "(" + show(i["c"]) + ")" if i["s"].startswith("(") else f"<{i['s'].split('{')[0]}>" + show(i["c"]) + "</>"
         mark = ")*" if i["o"] and i["r"] else ")+" if i["r"] else ")?" if i["o"] else ""
         out.append(f"({own}{mark}" if mark else own)
     return " ".join(out)
@@ -375,7 +472,8 @@ def _is_main(sig: str) -> int:
 
 
 def label(items: list[dict]) -> dict:
-    """The wrapper's labels as a nested map: token -> [keep, labels below, most]. '#' is the element's own text.
+    """The wrapper's labels as a nested map: token -> [keep, labels below, most]. '#' is the element's own text, whose labels
+    below are the texts that the host's pages share.
 
     Items of one parent and token share a label. Where the wrapper has a list of links among them, most is the share
     of links above which an element (or text) of a page goes; it is None elsewhere.
@@ -426,6 +524,25 @@ def label(items: list[dict]) -> dict:
     plain = sum(x for _, x in shown) if shown else sum(k["x"] for i in [{"c": items}, *(i for _, _, i, behind in found if not behind)] for k in texts(i))
     roots = [p for p, _ in (shown + under if sum(x for _, x in under) > plain else shown)]
 
+    def slots(expr):
+        for i in expr:
+            if i["s"] == "#":
+                yield i
+            else:
+                yield from slots(i["c"])
+
+    # Texts that nearly all of several pages have in the same place are template, also in an article, whose own texts vary. Pages
+    # that share much of their articles are versions of one.
+    pages = max((i["n"] for i in items), default=0)
+    own = [k for c, path, i, _ in found if path in roots for k in slots(i["c"])]
+    shares = lambda i: i["n"] >= max(4, 0.8 * pages)
+    versions = sum(sum(i["k"].values()) for i in own if shares(i)) > 0.2 * sum(i["x"] for i in own) / max(1, pages)
+
+    def shared(i, inside, tag):
+        if not roots:
+            return i["k"] if i["n"] >= 3 and not i["v"] else {}
+        return {d: n for d, n in i["k"].items() if n >= 25} if inside and not versions and shares(i) and tag not in HEADINGS else {}
+
     def walk(expr, path, inside, out):
         for i in expr:
             sig = i["s"]
@@ -433,14 +550,12 @@ def label(items: list[dict]) -> dict:
                 walk(i["c"], path, inside, out)
                 continue
             if sig == "#":
-                # Without a claimed article, text that all of several pages share is template.
-                fixed = not roots and i["k"] and i["n"] >= 3
                 menu = not roots and i["x"] and i["l"] > 0.6 * i["x"]
-                keep = bool((inside or not roots) and not fixed)
-                if keep and not menu or "#" not in out:
-                    out["#"] = [keep, {}, 0.6 if keep and menu else None]
-                elif keep and not out["#"][0]:
-                    out["#"] = [True, {}, 0.6]
+                keep = bool(inside or not roots)
+                entry = out.setdefault("#", [keep, {}, 0.6 if keep and menu else None])
+                if keep and not menu:
+                    entry[0], entry[2] = True, None
+                entry[1].update(shared(i, inside, _split(path[-1])[0] if path else ""))
                 continue
             here = path + (sig,)
             leads = any(r[: len(here)] == here for r in roots)
@@ -473,8 +588,8 @@ def main_text(root: Node, labels: dict | None = None) -> str:
         for kid in node.kids:
             at = len(blocks)
             if not isinstance(kid, Node):
-                keep, _, most = known.get("#", (inside, {}, None))
-                if keep and (most is None or kid[1] <= most * len(kid[0])):
+                keep, template, most = known.get("#", (inside, {}, None))
+                if keep and (most is None or kid[1] <= most * len(kid[0])) and not (template and _digest(kid[0]) in template):
                     blocks.append(kid[0])
                 continue
             keep, below, most = known.get(kid.sig, (inside and not _template(kid.sig, True), {}, None))

@@ -848,3 +848,47 @@ def test_cues_in_scripts_without_blanks(spark):
     docs = docs_of(spark, rows)
     out = toxicity.grade_documents(docs, toxicity.train(docs, labels)).collect()
     assert all(r["toxic"] == bool(r["doc_id"] % 2) for r in out)
+
+
+@pytest.mark.parametrize("page, chars", [("<div>" * 50_000 + "x", 1), ("<p>t</p>" + "<a x " * 200_000, 999_999 + 3), ("<object><div>a " * 20_000, 3 * 20_000 - 2), ("<button><div>a " * 20_000, 3 * 20_000 - 2)], ids=["deep", "unclosed", "objects", "buttons"])
+def test_broken_pages_are_read_whole_and_fast(page, chars):
+    """Deep nesting, tags and embedded elements without an end: all text stays, in time that is linear in the page."""
+    import time
+
+    start = time.perf_counter()
+    tree = html.parse(page)
+    text = html.main_text(tree, html.label(html.align(html.expression(tree), html.expression(html.parse(page)))))
+    assert len(text) == chars and time.perf_counter() - start < 20
+
+
+def test_tags_end_outside_quotes():
+    assert html.main_text(html.parse('<p title="a > b" x=\'c > d\'>one</p><p title="open>two</p><p>three</p>')) == "one\n\ntwo\n\nthree"
+    assert html.main_text(html.parse("<p>1 < 2 <3 and <4</p><p>end <b")) == "1 < 2 <3 and <4\n\nend <b"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_wrapper_finds_template_inside_articles(spark, parts):
+    """A box of no telling class or tag, in the article of every page of a host, is template; the page alone can't tell."""
+    box = "<div class=\"k2\"><p>Get our best stories each week, straight to you.</p></div>"
+    pages = [(i, f"http://h.test/{i}", f"<article><h1>Background to it</h1><p>{'Story %d goes on and on here. ' % i * 5}</p>{box}<p>{'More of %d follows. ' % i * 9}</p></article>") for i in range(8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(parts)
+    out = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    for i, _, page in pages:
+        assert out[i] == f"Background to it\n\n{('Story %d goes on and on here. ' % i * 5).strip()}\n\n{('More of %d follows. ' % i * 9).strip()}"
+        assert "best stories" in html.main_text(html.parse(page))
+
+
+def test_versions_of_one_article_stay_whole(spark):
+    """Pages of a host that share most of their article keep it."""
+    pages = [(i, f"http://v.test/{i}", f"<article><p>{'The same long paragraph in all versions. ' * 4}</p><p>{'Edited %d. ' % i * 6}</p></article>") for i in range(6)]
+    out = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r["text"].startswith("The same long paragraph") and f"Edited {r['page_id']}." in r["text"] for r in out)
+
+
+def test_long_lists_align_by_tokens_that_occur_once(monkeypatch):
+    """The short way for very long lists finds the tokens that both have in one order."""
+    items = lambda s: [{"s": x, "o": 0, "r": 0, "n": 1, "c": []} for x in s]
+    exact = html._matches(items("abcdefg"), items("xbcydefz"))
+    monkeypatch.setattr(html, "MOST_CELLS", 0)
+    assert html._matches(items("abcdefg"), items("xbcydefz")) == exact
+    assert html._matches(items("abab"), items("ba")) == []
