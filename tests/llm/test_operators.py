@@ -619,11 +619,12 @@ def near_copies(rng, families=6, copies=12, words=120):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("n", "num", "den"), [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
-def test_components_by_hand(spark, n, num, den, monkeypatch):
+@pytest.mark.parametrize(("n", "num", "den", "bits"), [(3, 9, 10, 64), (5, 4, 5, 64), (1, 1, 2, 64), (5, 4, 5, 8)])
+def test_components_by_hand(spark, n, num, den, bits, monkeypatch):
+    """Also where runs and texts share hashes: of 8 bits each, most do."""
     monkeypatch.setattr(jaccard_join, "HOT", 8)
     rows = near_copies(random.Random(n))
-    found = jaccard_join.jaccard_components(docs_of(spark, rows).repartition(3), n, num, den).collect()
+    found = jaccard_join.jaccard_components(docs_of(spark, rows).repartition(3), n, num, den, bits=bits).collect()
     assert sorted(map(tuple, found)) == components_by_hand(rows, n, num, den)
 
 
@@ -654,9 +655,9 @@ def test_schemes_miss_nothing():
         for extra in (0, 1):
             schemes = []
             for k in range(len(starts) - 1):
-                u = (den - num) * 2 * (starts[k + 1] - 1) // (den + num)
+                u, r = (den - num) * 2 * (starts[k + 1] - 1) // (den + num), 1 + k % 3
                 t = (u + 1) // 2 if extra else 0
-                schemes.append((u + 1 - t, t) if u else (0, 0))
+                schemes.append((u + (2 * r - 1 if t else r) - t, t, r))
             for _ in range(150):
                 n = int(rng.integers(10, 400))
                 a = rng.integers(0, 2**63, n).astype(np.uint64)
@@ -668,6 +669,18 @@ def test_schemes_miss_nothing():
                     assert len(np.intersect1d(x, y))
 
 
+def test_segments_without_content_are_no_meeting_places():
+    """Of many unlinked sets, hardly any share a signature, though most have empty segments under a narrow scheme."""
+    rng = np.random.default_rng(8)
+    starts, sets = [1, 41, 51], 4000
+    m, t, r = jaccard_join.allocate(45, 1e9, 10)
+    assert r > 1
+    found = [jaccard_join.signatures(rng.integers(0, 2**63, 45).astype(np.uint64), starts, [(1, 0, 1), (m, t, r)], 4, 5) for _ in range(sets)]
+    _, counts = np.unique(np.concatenate(found), return_counts=True)
+    alone = [jaccard_join.signatures(rng.integers(0, 2**63, 45).astype(np.uint64), starts, [(1, 0, 1), (11, 0, 1)], 4, 5) for _ in range(sets)]
+    assert counts.max() <= 0.2 * np.unique(np.concatenate(alone), return_counts=True)[1].max()
+
+
 def test_join_cases(spark, odd):
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(odd, 3, 9, 10).collect()}
     assert out[1] == (0, 1) and out[2] == (0, 2) and out[3] == (0, 3) and out[4] == (1, 4) and out[8][1] == 7 and out[9][1] == 9
