@@ -6,25 +6,21 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm.common import cut, table
+from quillet.llm.common import cut, scratch, sized, table
 from quillet.llm.exact_dedup import exact_dedup
 from quillet.llm.jaccard_join import jaccard_components
 from quillet.llm.mixing import mix
 from quillet.llm.packing import pack
 from quillet.llm.toxicity import drop_toxic
 
-#: A side of a join is broadcast up to this many rows of a few numbers, and shuffled beyond.
-SMALL = 1_000_000
 ROW = "_quillet_row"
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= SMALL else rows
-
-
 def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs and the column that tells its rows apart: doc_id, or where ids repeat or are null, numbers in the order of the ids, nulls last."""
     if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
@@ -33,39 +29,59 @@ def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
     return cut(ordered.withColumn(ROW, F.monotonically_increasing_id()), "rows"), ROW
 
 
-def _without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    return docs.join(_sized(cut(ids.distinct(), "dropped")), id_col, "left_anti")
+def _found(spark: SparkSession, find: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What find gives, written; the tables it needed on the way go."""
+    with scratch(spark) as keep:
+        return keep(cut(find(), name))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model, trained on the labelled ones among docs, doesn't reject."""
+    """Documents that the severity model, trained on the labelled ones among docs, doesn't reject.
+
+    Null and empty texts are clean and stay; texts are read whole, however long; repeated rows fare alike; without labels,
+    or with labels of one kind, all stay.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the longest, of these the one with the smallest id; null ids come last."""
+    """One row of each group of equal texts: the longest, of these the one with the smallest id; null ids come last.
+
+    Null and empty texts are one group. Of rows that tie in all this, or repeat, one stays. Whole texts are compared.
+    """
     rows, row = _rows(docs)
-    found = exact_dedup(rows, id_col=row).filter(~F.col("kept")).select(F.col("doc_id").alias(row))
-    return _without(rows, found, row).select(*docs.columns)
+    dropped = _found(spark, lambda: exact_dedup(rows, id_col=row).filter(~F.col("kept")).select(F.col("doc_id").alias(row)), "copies")
+    return rows.join(sized(dropped), row, "left_anti").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies: five-word shingles, similarity of 0.8 or more."""
+    """The document with the smallest id of each component of near copies: five-word shingles, similarity of 0.8 or more.
+
+    Null and empty texts have no shingles and stay. Rows of one id count as documents of their own, in the order of a
+    hash of their texts; of repeated rows one stays. Whole texts are compared.
+    """
     rows, row = _rows(docs)
-    found = jaccard_components(rows, n=5, num=4, den=5, id_col=row)
-    return _without(rows, found.filter("component_id <> doc_id").select(F.col("doc_id").alias(row)), row).select(*docs.columns)
+    dropped = _found(spark, lambda: jaccard_components(rows, n=5, num=4, den=5, id_col=row).filter("component_id <> doc_id").select(F.col("doc_id").alias(row)), "near")
+    return rows.join(sized(dropped), row, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times."""
+    """Each document as often as the mix takes it, up to three times; a null source is one of its own.
+
+    Null and empty texts have no words and are taken as often as others. Repeated rows are rows of their own.
+    """
     rows, row = _rows(docs)
-    copies = cut(mix(rows, id_col=row).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias("_quillet_copies")), "copies")
-    taken = rows.join(_sized(copies), row).withColumn("_quillet_copy", F.explode(F.sequence(F.lit(1), F.col("_quillet_copies"))))
+    copies = _found(spark, lambda: mix(rows, id_col=row).filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias("_quillet_copies")), "taken")
+    taken = rows.join(sized(copies), row).withColumn("_quillet_copy", F.explode(F.sequence(F.lit(1), F.col("_quillet_copies"))))
     return taken.select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 1024 tokens."""
+    """Pieces of documents and their places in sequences of 1024 tokens.
+
+    Null and empty texts are a single end token. Only documents of more tokens than a sequence holds are cut. Repeated
+    rows (the mix repeats documents) are packed each.
+    """
     return pack(docs)
 
 
@@ -77,6 +93,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark) as keep:
+        for name, stage in STAGES:
+            docs = _found(spark, lambda: stage(spark, docs, sf_dir), name)  # noqa: B023
+        return keep(docs)
