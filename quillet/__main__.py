@@ -75,7 +75,8 @@ def _reports(args) -> int:
         if os.path.realpath(args.root) in ("/", os.path.expanduser("~")):
             raise PayloadError("not over a root or home folder")
         now = int(time.time())
-        IndexStore(spark, args.store).sync(files.index_files(spark, args.root, now, config.discover(args.root), exclude=args.exclude), now).show()
+        store = IndexStore(spark, args.store)
+        store.sync(files.index_files(spark, args.root, now, config.discover(args.root), store.read("files"), exclude=args.exclude), now).show()
     elif args.command == "stats":
         store = IndexStore(spark, args.store)
         index.stats(store.read("files"), store.read("conversions"), args.by, args.top, args.type).show(args.top, False)

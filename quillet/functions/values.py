@@ -14,6 +14,7 @@ class PayloadError(ValueError):
     """A payload can't be parsed, encoded or decoded."""
 
 
+_large = re.compile(r"[eE]\+?\d{3}|\d{300}")
 _only_brackets = {c: None for c in range(128) if chr(c) not in "[]{}"}
 
 
@@ -46,16 +47,23 @@ def _reject(name: str):
     raise PayloadError(f"{name} is no JSON number")
 
 
+def _real(digits: str) -> float:
+    x = float(digits)
+    if x in (float("inf"), float("-inf")):
+        raise PayloadError("number out of range")
+    return x
+
+
 def loads(data: bytes | str):
-    """A whole JSON document. Of equal keys the last one counts; NaN, lone surrogates and bad UTF-8 are errors."""
+    """A whole JSON document. Of equal keys the last one counts; NaN, numbers out of range, lone surrogates and bad UTF-8 are errors."""
     try:
         text = data.decode("utf-8") if isinstance(data, bytes) else data
         check_depth(text)
-        value = json.loads(text, parse_int=_whole, parse_constant=_reject)
+        value = json.loads(text, parse_int=_whole, parse_float=_real if _large.search(text) else None, parse_constant=_reject)
         if "\\u" in text:
             dumps(value).encode("utf-8")
         return value
-    except (ValueError, RecursionError) as e:
+    except (ValueError, OverflowError, RecursionError) as e:
         raise PayloadError(str(e)) from None
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quillet.functions.detect import hint_of_path
 from quillet.operators.convert import CLI, Options, convert_payloads
 
-MOST_FILES = 50_000
+#: Up to so many changed files are opened by their paths; beyond that the tree is read.
+MOST_PATHS = 10_000
 
 
 def glob_pattern(glob: str) -> str:
@@ -46,8 +47,8 @@ def ignored(path, globs: list[str]):
     return out
 
 
-def scan(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[str] = (), most_files: int = MOST_FILES, hidden: bool = False) -> DataFrame:
-    """path (relative), size_bytes, mtime_unix of the files below root. No content is read; more than most_files is an error."""
+def scan(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[str] = (), most_files: int | None = None, hidden: bool = False) -> DataFrame:
+    """path (relative), size_bytes, mtime_unix of the files below root. No content is read; where most_files is given, more are an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").removeprefix("file:")
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/+", "")
@@ -55,22 +56,39 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[s
     if not hidden:
         out = out.filter(~F.col("path").rlike(r"(?:^|/)\."))
     out = out.filter(~ignored(F.col("path"), list(ignore)) & ~ignored(F.col("path"), list(exclude)))
-    if out.count() > most_files:
+    if most_files is not None and out.count() > most_files:
         raise ValueError(f"more than {most_files} files")
     return out
 
 
-def contents(spark: SparkSession, root: str, most_bytes: int) -> DataFrame:
-    """path and payload of files up to most_bytes; the size is checked in the scan, so larger files aren't opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= most_bytes)
+def contents(spark: SparkSession, root: str, most_bytes: int, only: DataFrame | None = None) -> DataFrame:
+    """path and payload of files up to most_bytes; the size is checked in the scan, so larger files aren't opened. only: a table of the paths wanted."""
     base = root.rstrip("/").removeprefix("file:")
-    return files.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/+", "").alias("path"), F.col("content").alias("payload"))
-
-
-def index_files(spark: SparkSession, root: str, now: int, options: Options = CLI, **rules) -> dict[str, DataFrame]:
-    """files, shapes and conversions of a full scan. Files above the cap have a row without a type and no dependents."""
+    reader, where = spark.read.format("binaryFile"), root
+    if only is not None:
+        wanted = [r["path"] for r in only.select("path").limit(MOST_PATHS + 1).collect()]
+        if not wanted:
+            return spark.createDataFrame([], "path string, payload binary")
+        if len(wanted) <= MOST_PATHS and not any(set(p) & set("*?[]{}\\") for p in wanted):
+            where, only = [f"{root.rstrip('/')}/{p}" for p in wanted], None
+    files = (reader.load(where) if isinstance(where, list) else reader.option("recursiveFileLookup", True).load(where)).filter(F.col("length") <= most_bytes)
+    out = files.select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/+", "").alias("path"), F.col("content").alias("payload"))
+    return out if only is None else out.join(only.select("path"), "path", "left_semi")
+
+
+def index_files(spark: SparkSession, root: str, now: int, options: Options = CLI, known: DataFrame | None = None, **rules) -> dict[str, DataFrame]:
+    """files, shapes and conversions of a scan. Files above the cap have a row without a type and no dependents.
+
+    known is the files table of the last scan: files of the same size and time keep their row's digest and type and aren't
+    opened, and have no shapes and conversions here (a sync keeps theirs).
+    """
     listed = scan(spark, root, **rules)
-    read = contents(spark, root, options.max_input_bytes).join(listed.select("path"), "path", "left_semi")
+    same = None
+    if known is not None:
+        stat = ["path", "size_bytes", "mtime_unix"]
+        same = listed.join(known.select(*stat, "content_hash", "doc_type", "scanned_at"), stat)
+        listed = listed.join(known.select(*stat), stat, "left_anti")
+    read = contents(spark, root, options.max_input_bytes, listed)
     done = convert_payloads(read.withColumn("hint", F.lit(None).cast("string")), options, hint="hint")
     done = done.withColumn("content_hash", F.sha2("payload", 256)).drop("payload", "text")
     files = listed.join(done.select("path", "content_hash", "doc_type"), "path", "left").withColumn("scanned_at", F.lit(now).cast("long"))
@@ -78,7 +96,10 @@ def index_files(spark: SparkSession, root: str, now: int, options: Options = CLI
     uniform = F.col("shape_class") == "uniform"
     shapes = known.select("path", F.lit("").alias("json_pointer"), F.coalesce("shape_class", F.lit("unknown")).alias("shape_class"), F.when(uniform, F.col("uniformity_pct")).alias("uniformity_pct"), F.when(uniform, F.col("sampled_count").cast("long")).alias("sampled_count"))
     conversions = known.filter("json_bytes is not null").select("path", F.lit("").alias("json_pointer"), "json_bytes", "toon_bytes", "savings_pct", F.lit(None).cast("string").alias("cached_toon_text"), F.lit(now).cast("long").alias("computed_at"))
-    return {"files": files.select("path", "size_bytes", "mtime_unix", "content_hash", "doc_type", "scanned_at"), "shapes": shapes, "conversions": conversions}
+    files = files.select("path", "size_bytes", "mtime_unix", "content_hash", "doc_type", "scanned_at")
+    if same is not None:
+        files = files.unionByName(same)
+    return {"files": files, "shapes": shapes, "conversions": conversions}
 
 
 def hinted(payloads: DataFrame) -> DataFrame:

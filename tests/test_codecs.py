@@ -268,3 +268,12 @@ def test_large_payloads_of_a_table(spark):
     for target, reason in (("tron", None), ("toon", "InputTooLarge")):
         r = convert.convert_payloads(frame, convert.Options(target=target, max_input_bytes=1000)).first()
         assert (r["reason"], r["converted"]) == (reason, True if reason is None else None) or reason and r["reason"] == reason
+
+
+@pytest.mark.parametrize("text", ["[1e400]", "[-1E+999]", "[" + "9" * 400 + "]", "[" + "9" * 400 + ".5]"])
+def test_numbers_out_of_range_are_errors(text):
+    from quillet.functions.values import PayloadError, loads
+
+    with pytest.raises(PayloadError):
+        loads(text)
+    assert loads("[1e308, 1e-400, 0.5e+10]") == [1e308, 0.0, 5e9]

@@ -106,3 +106,25 @@ def test_watch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert calls
+
+
+def test_unchanged_files_are_not_opened(spark, tree, monkeypatch):
+    opened, contents = [], files.contents
+    monkeypatch.setattr(files, "contents", lambda s, r, m, only: opened.append(sorted(x["path"] for x in only.collect())) or contents(s, r, m, only))
+    first = files.index_files(spark, str(tree), 7, ignore=["*.log", "/build/"])["files"]
+    known = spark.createDataFrame(first.collect(), first.schema)
+    (tree / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    again = files.index_files(spark, str(tree), 9, known=known, ignore=["*.log", "/build/"])
+    rows = {r["path"]: r for r in again["files"].collect()}
+    assert opened == [["a.json", "big.json", "prose.txt", "sub/b.csv"], ["a.json"]]
+    old = {r["path"]: r for r in first.collect()}
+    assert rows["sub/b.csv"] == {r["path"]: r for r in known.collect()}["sub/b.csv"] and rows["a.json"]["content_hash"] != {r["path"]: r for r in known.collect()}["a.json"]["content_hash"]
+    assert set(rows) == set(old) and {r["path"] for r in again["conversions"].collect()} <= {"a.json"}
+    idle = files.index_files(spark, str(tree), 9, known=spark.createDataFrame(again["files"].collect(), first.schema), ignore=["*.log", "/build/"])
+    assert idle["conversions"].count() == 0 and idle["files"].count() == len(rows)
+
+
+def test_many_changed_files_are_read_with_the_tree(spark, tree, monkeypatch):
+    monkeypatch.setattr(files, "MOST_PATHS", 1)
+    made = files.index_files(spark, str(tree), 7, ignore=["*.log", "/build/"])
+    assert {r["path"]: r["doc_type"] for r in made["files"].collect()}["a.json"] == "json"
