@@ -1,4 +1,7 @@
-"""Command line: convert, check, decode, lint, diff, detect, index, stats, metrics, heatmap. Exit codes: 0 done, 1 failed, 2 wrong use."""
+"""Command line: convert, check, decode, lint, diff, detect; index, stats, status, show, compact; metrics, heatmap, cost, top, recent, export, reset.
+
+Exit codes: 0 done, 1 failed, 2 wrong use.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ import os
 import sys
 import tempfile
 import time
+from contextlib import nullcontext
 from dataclasses import replace
 
 from quillet import config
@@ -80,10 +84,40 @@ def _reports(args) -> int:
     elif args.command == "stats":
         store = IndexStore(spark, args.store)
         index.stats(store.read("files"), store.read("conversions"), args.by, args.top, args.type).show(args.top, False)
+    elif args.command == "status":
+        index.status(IndexStore(spark, args.store).read("files")).show(truncate=False)
+    elif args.command == "show":
+        store = IndexStore(spark, args.store)
+        found = index.show(store.read("files"), store.read("shapes"), store.read("conversions"), args.path)
+        if found.isEmpty():
+            raise PayloadError(f"{args.path} isn't in the index")
+        found.show(truncate=False, vertical=True)
+    elif args.command == "compact":
+        print(IndexStore(spark, args.store).compact(args.files))
+    elif args.command == "reset":
+        if not args.yes:
+            raise PayloadError("a reset deletes all events; confirm with --yes")
+        ledger.reset(spark, args.ledger)
+    elif args.command == "export":
+        lines = ledger.export(ledger.select(ledger.read(spark, args.ledger), since=args.since, opportunities=True), args.format)
+        out = open(args.output, "w", encoding="utf-8") if args.output else sys.stdout
+        with out if args.output else nullcontext():
+            for row in lines.toLocalIterator():  # a partition at a time
+                out.write(row["line"] + "\n")
     else:
         events = ledger.select(ledger.read(spark, args.ledger))
         today = int(time.time()) // 86400
-        (ledger.heatmap(events, today - 364, today) if args.command == "heatmap" else ledger.summary(events)).show(400, False)
+        if args.command == "heatmap":
+            report = ledger.heatmap(events, today - 364, today)
+        elif args.command == "cost":
+            report = ledger.cost(events)
+        elif args.command == "top":
+            report = ledger.leaderboard(events, args.by, args.n, args.metric)
+        elif args.command == "recent":
+            report = ledger.recent(events, args.n)
+        else:
+            report = ledger.summary(events)
+        report.show(max(400, getattr(args, "n", 0)), False)
     return 0
 
 
@@ -107,8 +141,27 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--by", choices=("savings", "count", "recency"), default="savings")
     p.add_argument("--top", type=int, default=10)
     p.add_argument("--type")
-    for name in ("metrics", "heatmap"):
-        commands.add_parser(name).add_argument("ledger")
+    commands.add_parser("status").add_argument("--store", required=True)
+    p = commands.add_parser("show")
+    p.add_argument("path")
+    p.add_argument("--store", required=True)
+    p = commands.add_parser("compact")
+    p.add_argument("--store", required=True)
+    p.add_argument("--files", type=int, default=1)
+    for name in ("metrics", "heatmap", "cost", "top", "recent", "export", "reset"):
+        p = commands.add_parser(name)
+        p.add_argument("ledger")
+        if name in ("top", "recent"):
+            p.add_argument("-n", type=int, default=10)
+        if name == "top":
+            p.add_argument("--by", choices=("source_label", "project_id"), default="source_label")
+            p.add_argument("--metric", choices=("bytes", "tokens"), default="bytes")
+        if name == "export":
+            p.add_argument("--format", choices=("csv", "prometheus", "otel", "json"), default="json")
+            p.add_argument("--since", type=int, help="the first day, counted from 1970")
+            p.add_argument("-o", "--output")
+        if name == "reset":
+            p.add_argument("--yes", action="store_true")
     args = parser.parse_args(argv)
     try:
         return _payload(args) if hasattr(args, "input") else _reports(args)

@@ -142,6 +142,14 @@ def export_json(events: DataFrame) -> DataFrame:
     return events.select(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).alias("line"))
 
 
+EXPORTS = {"csv": export_csv, "prometheus": export_prometheus, "otel": export_otel, "json": export_json}
+
+
+def export(events: DataFrame, form: str) -> DataFrame:
+    """The lines of an export in the order of the events' times; events of one time are ordered by surface, label and sizes."""
+    return EXPORTS[form](events.orderBy("ts", "surface", "source_label", "input_bytes", "output_bytes"))
+
+
 def record(events: DataFrame, *paths: str) -> None:
     """Append events to one ledger or more, partitioned by day."""
     for path in paths:

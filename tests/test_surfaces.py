@@ -7,7 +7,7 @@ import pytest
 from quillet import __main__ as cli
 from quillet import config
 from quillet.functions import register, tokens
-from quillet.operators import convert
+from quillet.operators import convert, ledger
 from quillet.operators.store import IndexStore, VersionError
 from quillet.sources import files, table_text
 
@@ -98,3 +98,34 @@ def test_tokens():
     assert tokens.token_savings_pct("abcdefgh", "abcd") == 50 and tokens.token_savings_pct("", "x") == 0
     assert tokens.cost_usd(1_000_000, "gpt-4o") == 2.5 and tokens.cost_savings_usd(1, 5) == 0
     assert tokens.family("GPT-4-turbo") == "cl100k" and tokens.family("other") == "heuristic"
+
+
+def test_command_line_ledger(spark, tmp_path, capsys):
+    path, none = str(tmp_path / "ledger"), None
+    raw = [(300, "actual", "cli", 90, 30, "b.json"), (100, "actual", "cli", 50, 60, none), (200, "opportunity", "hook:x", 80, 20, 'a,"q"'), (86_400, "actual", "hook:x", 1000, 400, "a.json")]
+    ledger.record(ledger.derive(spark.createDataFrame(raw, "ts long, kind string, surface string, input_bytes long, output_bytes long, source_label string")), path)
+    for form, lines_an_event in (("json", 1), ("csv", 1), ("otel", 1), ("prometheus", 4)):
+        target = tmp_path / form
+        assert cli.main(["export", path, "--format", form, "-o", str(target)]) == 0
+        assert len(target.read_text().splitlines()) == 4 * lines_an_event
+    assert [json.loads(x)["ts"] for x in (tmp_path / "json").read_text().splitlines()] == [100, 200, 300, 86_400]
+    assert cli.main(["export", path, "--since", "1"]) == 0 and [json.loads(x)["ts"] for x in capsys.readouterr().out.splitlines()] == [86_400]
+    assert cli.main(["top", path, "-n", "1"]) == 0
+    out = capsys.readouterr().out
+    assert "a.json" in out and "b.json" not in out and "600" in out
+    assert cli.main(["recent", path, "-n", "1"]) == 0 and "86400" in capsys.readouterr().out
+    assert cli.main(["cost", path]) == 0 and "usd" in capsys.readouterr().out
+    assert cli.main(["reset", path]) == 1 and ledger.read(spark, path).count() == 4
+    assert cli.main(["reset", path, "--yes"]) == 0 and ledger.read(spark, path).count() == 0
+
+
+def test_command_line_index(spark, tmp_path, capsys):
+    root, store = tmp_path / "root", str(tmp_path / "i")
+    root.mkdir()
+    (root / "a.json").write_text(json.dumps(ROWS))
+    assert cli.main(["index", str(root), "--store", store]) == 0
+    assert cli.main(["status", "--store", store]) == 0 and "classified" in capsys.readouterr().out
+    assert cli.main(["show", "a.json", "--store", store]) == 0 and "uniform" in capsys.readouterr().out
+    assert cli.main(["show", "b.json", "--store", store]) == 1
+    assert cli.main(["compact", "--store", store]) == 0 and capsys.readouterr().out == "2\n"
+    assert cli.main(["show", "a.json", "--store", store]) == 0
